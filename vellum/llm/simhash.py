@@ -24,7 +24,7 @@ one stays; null ids are allowed and order first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,8 +105,7 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             part = batch.slice(at, 2000)
             prints = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
             values = segment_values(prints).astype(np.int64) | (np.arange(RINGS * SEGMENTS, dtype=np.int64) << 32)
-            rows = np.repeat(np.arange(len(prints)), RINGS * SEGMENTS)
-            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), part.column(0).take(rows), part.column(1).take(rows)], ["segment", "node", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), RINGS * SEGMENTS))], ["segment", "node"])
 
 
 def chain_filter(distances: np.ndarray, limit: int) -> np.ndarray:
@@ -178,22 +177,11 @@ def _pairs_within(prints: np.ndarray, first: np.ndarray, limit: int) -> tuple[np
     return np.concatenate(a), np.concatenate(b)
 
 
-def _link_batches(limit: int):
+def _by_segment(of_runs: Callable[[pa.Table], pa.RecordBatch]):
+    """Apply `of_runs` to whole runs of equal segments of a sorted stream."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def links(table: pa.Table) -> pa.RecordBatch:
-            segment = table.column("segment").to_numpy()
-            first = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(segment)]])
-            size = np.diff(first)
-            keep = np.repeat(size > 1, size)
-            table = table.filter(pa.array(keep))
-            node = table.column("node").to_numpy()
-            prints = np.frombuffer(b"".join(table.column("print").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-            a, b = _pairs_within(prints, np.concatenate([[0], np.cumsum(size[size > 1])]), limit)
-            pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -202,18 +190,43 @@ def _link_batches(limit: int):
             cut = int(np.searchsorted(segment, segment[-1]))
             held.append(batch.slice(0, cut) if cut else batch)
             if cut:
-                yield links(pa.Table.from_batches(held))
+                yield of_runs(pa.Table.from_batches(held))
                 held = [batch.slice(cut)]
         if held:
-            yield links(pa.Table.from_batches(held))
+            yield of_runs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _runs(table: pa.Table) -> np.ndarray:
+    segment = table.column("segment").to_numpy()
+    return np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(segment)]])
+
+
+def _met(table: pa.Table) -> pa.RecordBatch:
+    size = np.diff(_runs(table))
+    kept = table.filter(pa.array(np.repeat(size > 1, size))).combine_chunks()
+    return pa.RecordBatch.from_arrays([kept.column(i).combine_chunks() for i in range(2)], ["segment", "node"])
+
+
+def _links(limit: int) -> Callable[[pa.Table], pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.RecordBatch:
+        node = table.column("node").to_numpy()
+        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+        a, b = _pairs_within(prints, _runs(table), limit)
+        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
 def fingerprint_links(nodes: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
     """(a, b) links between nodes (node bigint, print binary) that are near."""
-    met = nodes.mapInArrow(_segment_batches, "segment bigint, node bigint, print binary").repartition("segment").sortWithinPartitions("segment")
-    return met.mapInArrow(_link_batches(limit), "a bigint, b bigint").distinct()
+    # Two narrow numbers per segment are shuffled; only what meets, a small
+    # part, then gets its fingerprint.
+    pairs = nodes.mapInArrow(_segment_batches, "segment bigint, node bigint").repartition("segment").sortWithinPartitions("segment")
+    met = pairs.mapInArrow(_by_segment(_met), "segment bigint, node bigint").join(nodes, "node").select("segment", "node", "print")
+    return met.repartition("segment").sortWithinPartitions("segment", "node").mapInArrow(_by_segment(_links(limit)), "a bigint, b bigint").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, limit: int = MAX_DISTANCE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
