@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import classifier, simhash
+from vellum.llm import classifier, decontaminate, mixing, sharding, simhash
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row number, shuffled place, shard and slot of every document."""
+    return sharding.assignments(table(spark, sf_dir, "documents"))
+
+
+SQL["op1_feistel_sharding"] = sharding.SHARD_SQL
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, exactly or in proximity."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, probability of being clean and verdict for every document."""
@@ -31,3 +46,22 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of a near-duplicate group, with its group and whether it stays."""
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "keep")
+
+
+@query
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repetition of every document in the mix."""
+    docs = table(spark, sf_dir, "documents")
+    shares = mixing.epochs(mixing.source_sizes(docs))
+    return mixing.mixed(docs.select("doc_id", "source"), shares, copy_column="copy")
+
+
+SQL["op10_source_mixing"] = mixing.MIX_SQL
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the sharded training mix."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
