@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import classifier, decontaminate, mixing, sharding, simhash
+from vellum.llm import classifier, decontaminate, lines, mixing, sharding, simhash
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,16 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op1_feistel_sharding"] = sharding.SHARD_SQL
 
 
+@query
+def op2_cross_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are spread over many sites."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.without_boilerplate(docs, removed_column="n_removed").drop("source")
+
+
+SQL["op2_cross_site_lines"] = lines.LINE_SQL
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document, exactly or in proximity."""
