@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import classifier, decontaminate, lines, mixing, sharding, simhash
+from vellum.llm import classifier, decontaminate, lines, mixing, repetition, sharding, simhash
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,15 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+@query
+def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated n-gram and line characters and the verdict for every document."""
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
+SQL["op4_repetition_coverage"] = repetition.REPETITION_SQL
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, probability of being clean and verdict for every document."""
