@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import classifier, decontaminate, lines, mixing, repetition, sharding, simhash
+from vellum.llm import classifier, decontaminate, lines, mixing, repetition, secrets, sharding, simhash
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,15 @@ def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op4_repetition_coverage"] = repetition.REPETITION_SQL
 
 
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret that a rule finds in a document."""
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+SQL["op6_secret_scan"] = secrets.SECRET_SQL
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, probability of being clean and verdict for every document."""
