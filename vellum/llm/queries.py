@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import classifier, decontaminate, lines, mixing, repetition, secrets, sharding, simhash
+from vellum.llm import classifier, decontaminate, langid, lines, mixing, repetition, secrets, sharding, simhash
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_secret_scan"] = secrets.SECRET_SQL
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, and what it costs to parse it in it."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.training_text(docs)).withColumn("bits", F.round("bits", 6))
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, probability of being clean and verdict for every document."""
