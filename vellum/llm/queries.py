@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import classifier, decontaminate, langid, lines, mixing, repetition, secrets, sharding, simhash
+from vellum.llm import classifier, decontaminate, langid, lines, mixing, repetition, secrets, sharding, simhash, suffixes
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op4_repetition_coverage"] = repetition.REPETITION_SQL
 
 
+@query
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that occurs again, with its document."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret that a rule finds in a document."""
