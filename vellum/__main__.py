@@ -1,0 +1,52 @@
+"""Command line: index paths, search, context, stats."""
+
+from __future__ import annotations
+
+import argparse
+import json
+
+from pyspark.sql import SparkSession
+
+from vellum.engine import Engine
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="vellum", description=__doc__)
+    top.add_argument("--root", default="./vellum-catalog")
+    commands = top.add_subparsers(dest="command", required=True)
+    index = commands.add_parser("index")
+    index.add_argument("paths", nargs="+")
+    index.add_argument("--source-id", default="filesystem")
+    index.add_argument("--force", action="store_true")
+    for name in ("search", "context"):
+        one = commands.add_parser(name)
+        one.add_argument("query")
+        one.add_argument("-k", type=int)
+        one.add_argument("--json", action="store_true")
+    commands.add_parser("stats")
+    return top
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    args = parser().parse_args(argv)
+    engine = Engine.open(spark or SparkSession.builder.getOrCreate(), args.root)
+    if args.command == "index":
+        for path in args.paths:
+            engine.add_path(path, args.source_id)
+        print(json.dumps(engine.build(args.force)))
+    elif args.command == "search":
+        found = engine.search(args.query, args.k)
+        if args.json:
+            print(json.dumps([r.asDict(recursive=True) for r in found], ensure_ascii=False))
+        else:
+            for r in found:
+                print(f"{r['score']:.4f}  {r['citation']}\n    {r['excerpt'][:200]}")
+    elif args.command == "context":
+        print(engine.context(args.query, args.k))
+    else:
+        print(json.dumps(engine.stats()))
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

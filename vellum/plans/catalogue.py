@@ -1,10 +1,528 @@
-"""Every registered query with its SQL."""
+"""Every registered query with its SQL, over the tables of a scale folder.
+
+Documents are assets of their source with the address text://<doc_id>; pages
+are web assets; benchmark items serve as search queries.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum.functions import text as T
+from vellum.operators import content, indexing, memory, rollups, search, vectors
+from vellum.plans.sql import KEYWORDS, NAMED, POSTINGS, RECORDS, SEARCH_TERMS, UNIT, hybrid_sql, stop_list, tokens_sql
+from vellum.sources import connectors, readers
+from vellum.sources import store as stores
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    uri = F.concat(F.lit("text://"), F.col("doc_id").cast("string"))
+    return connectors.from_texts(documents(spark, sf_dir), F.col("source"), uri, name, F.col("text"), F.col("doc_id"))
+
+
+def records(spark: SparkSession, sf_dir: str, embed: bool = True) -> DataFrame:
+    """Whole documents as summary records, one each."""
+    number = F.col("doc_id").cast("string")
+    none = F.array().cast("array<string>")
+    rows = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), F.lit(search.SUMMARY).alias("doc_type"), number.alias("doc_id"), "text", F.concat(number, F.lit(".txt")).alias("title"), F.concat(F.lit("text://"), number).alias("uri"), F.col("source").alias("source_id"), F.lit("").alias("version_id"), F.lit("").alias("location"), F.lit(True).alias("is_current"), none.alias("section_ids"), F.array("lang").alias("tags")
+    )
+    return rows.withColumn("vector", vectors.embedding("text")) if embed else rows
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+# -- identity and text functions --------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(source || '::text://' || doc_id) AS document_id, sha256(text) AS version_id FROM documents")
+def doc_identity(spark, sf_dir):
+    uri = F.concat(F.lit("text://"), F.col("doc_id").cast("string"))
+    return documents(spark, sf_dir).select("doc_id", T.document_id("source", uri).alias("document_id"), T.version_id("text").alias("version_id"))
+
+
+@query("SELECT sha256(text) AS version_id, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicate_versions(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(T.version_id("text").alias("version_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, len({_WORDS})::BIGINT AS n_words, greatest(1, floor(len({_WORDS}) / 0.75::DOUBLE))::BIGINT AS n_tokens FROM documents")
+def token_count(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.size(T.words("text")).cast("bigint").alias("n_words"), T.token_count("text").alias("n_tokens"))
+
+
+@query(f"SELECT lang, count(*) AS n_docs, sum(w)::BIGINT AS n_words, max(w)::BIGINT AS longest, min(w)::BIGINT AS shortest FROM (SELECT lang, len({_WORDS}) AS w FROM documents) GROUP BY lang")
+def word_count_stats(spark, sf_dir):
+    w = F.size(T.words("text")).cast("bigint")
+    return documents(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(w).alias("n_words"), F.max(w).alias("longest"), F.min(w).alias("shortest"))
+
+
+@query(f"WITH {KEYWORDS} SELECT doc_id, rank, token, n FROM ranked WHERE rank <= 8")
+def keywords_topk(spark, sf_dir):
+    return content.ranked_keywords(documents(spark, sf_dir), 8, "doc_id").select("doc_id", F.col("rank").cast("bigint").alias("rank"), "token", "n")
+
+
+@query(f"WITH {KEYWORDS} SELECT token, sum(n)::BIGINT AS n, count(*) AS n_docs FROM counted GROUP BY token")
+def global_term_freq(spark, sf_dir):
+    return content.keyword_counts(documents(spark, sf_dir), "doc_id").groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+
+
+SENTENCES = r"""
+parts AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS s FROM documents)
+"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, unnest(range(len(s))) AS position, unnest(s) AS sentence FROM parts")
+def sentence_split(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences("text")).alias("position", "sentence")).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query(
+    f"""
+WITH {SENTENCES},
+weights AS (SELECT doc_id, token, count(*) AS w FROM (SELECT doc_id, unnest({tokens_sql('text', 'keyword')}) AS token FROM documents) WHERE token NOT IN ({stop_list()}) GROUP BY ALL),
+each AS (SELECT doc_id, unnest(range(len(s))) AS position, unnest(s) AS sentence FROM parts WHERE len(s) > 6),
+terms AS (SELECT doc_id, position, unnest({tokens_sql('sentence', 'keyword')}) AS token FROM each),
+scored AS (SELECT t.doc_id, t.position, sum(coalesce(w, 0))::DOUBLE / sqrt(count(*)) AS score FROM terms t LEFT JOIN weights USING (doc_id, token) GROUP BY ALL),
+best AS (SELECT doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS r FROM scored WHERE doc_id IN (SELECT doc_id FROM weights)) WHERE r <= 6
+  UNION ALL SELECT doc_id, position FROM each WHERE position < 6 AND doc_id NOT IN (SELECT doc_id FROM weights)),
+told AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY position) AS t FROM each JOIN best USING (doc_id, position) GROUP BY doc_id)
+SELECT p.doc_id, CASE WHEN length(b) <= 1200 AND length(b) - length(replace(b, chr(10), '')) < 4 THEN b
+  ELSE substr(coalesce(t, array_to_string(s, ' ')), 1, 1200) END AS summary
+FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM parts) p LEFT JOIN told USING (doc_id)
+"""
+)
+def extractive_summary(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", content.summary("text").alias("summary"))
+
+
+# -- embeddings -------------------------------------------------------------------
+
+
+@query(f"WITH {POSTINGS} SELECT doc_id, bucket, round(weight, 6) + 0 AS weight FROM postings")
+def hashing_embed_postings(spark, sf_dir):
+    found = vectors.postings(documents(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "bucket", (F.round("weight", 6) + 0).alias("weight"))
+
+
+@query(f"WITH {POSTINGS} SELECT doc_id, round(sqrt(sum(weight * weight)), 6) AS norm, count(*) AS n_buckets FROM postings GROUP BY doc_id")
+def hashing_embed_norm(spark, sf_dir):
+    return vectors.postings(documents(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"), F.count("*").alias("n_buckets"))
+
+
+@query(f"WITH {POSTINGS}, {UNIT} SELECT doc_id, list(round(v::DOUBLE, 6) + 0 ORDER BY bucket) AS vector FROM (SELECT d.doc_id, b AS bucket, coalesce(u.v, 0) AS v FROM documents d CROSS JOIN (SELECT unnest(range(512)) AS b) LEFT JOIN unit u ON u.doc_id = d.doc_id AND u.bucket = b) GROUP BY doc_id")
+def hashing_embed_vector(spark, sf_dir):
+    vector = F.transform(vectors.embedding("text"), lambda x: F.round(x.cast("double"), 6) + 0)
+    return documents(spark, sf_dir).select("doc_id", vector.alias("vector"))
+
+
+# -- search -----------------------------------------------------------------------
+
+
+@query(
+    """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+scored AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_cosine_similarity(q.e, d.e), 9) AS score FROM v q CROSS JOIN v d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
+SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10
+"""
+)
+def semantic_topk_batch(spark, sf_dir):
+    """Every vector as a query."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.semantic(rows, rows.select(F.col("id").alias("query_id"), "vector"), 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH {RECORDS}, {SEARCH_TERMS} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lexical) WHERE rank <= 8")
+def lexical_topk(spark, sf_dir):
+    found = search.lexical(records(spark, sf_dir, False), asked(spark, sf_dir), 8)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(hybrid_sql())
+def hybrid_topk(spark, sf_dir):
+    found = search.hybrid(records(spark, sf_dir), asked(spark, sf_dir), 8)
+    return found.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(hybrid_sql("source_id IN ('src0', 'src1')"))
+def hybrid_source_filter(spark, sf_dir):
+    pool = records(spark, sf_dir).where(search.Filters(source_ids=("src0", "src1")).condition())
+    found = search.hybrid(pool, asked(spark, sf_dir), 8)
+    return found.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_DETAIL = " OR ".join(f"contains(lower(text), '{d}')" for d in search.DETAIL)
+
+
+@query(f"SELECT item_id AS query_id, {_DETAIL} AS detail FROM benchmark")
+def detail_intent(spark, sf_dir):
+    return asked(spark, sf_dir).select("query_id", search.wants_detail(F.col("query")).alias("detail"))
+
+
+@query(f"WITH h AS ({hybrid_sql(final=False)}) SELECT item_id AS query_id, coalesce(max(score) IS NOT NULL AND (({_DETAIL}) OR max(score) < 0.3), false) AS deepen FROM benchmark LEFT JOIN h ON query_id = item_id GROUP BY item_id, text")
+def deepen_decision(spark, sf_dir):
+    queries = asked(spark, sf_dir)
+    return search.deepening(search.hybrid(records(spark, sf_dir), queries, 8), queries)
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.session import saved
+
+    none = spark.createDataFrame([], stores.SCHEMAS["membership"])
+    docs = indexing.analysed(indexing.identified(assets(spark, sf_dir))).withColumn("is_current", F.lit(True))
+    return saved(indexing.records_of(docs, none))
+
+
+@query()
+def search_evidence(spark, sf_dir):
+    """Summary-first search with chunks where needed, for every benchmark item."""
+    return search.search(_indexed(spark, sf_dir), asked(spark, sf_dir))
+
+
+@query()
+def context_block(spark, sf_dir):
+    return search.context_blocks(search_evidence(spark, sf_dir))
+
+
+@query(f"WITH {NAMED} SELECT doc_id, title || CASE WHEN doc_id % 2 = 0 THEN ' (p.' || doc_id || ')' ELSE '' END AS citation FROM named")
+def evidence_citation(spark, sf_dir):
+    number = F.col("doc_id").cast("string")
+    place = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("p."), number))
+    return documents(spark, sf_dir).select("doc_id", T.citation(F.concat(number, F.lit(".txt")), F.concat(F.lit("text://"), number), number, place).alias("citation"))
+
+
+# -- chunks -----------------------------------------------------------------------
+
+CHUNKS = f"""
+w AS (SELECT doc_id, source, text, {_WORDS} AS w FROM documents),
+k AS (SELECT *, CASE WHEN floor(len(w) / 0.75::DOUBLE) <= 800 THEN 1 ELSE 1 + ceil(greatest(len(w) - 600, 0) / 540::DOUBLE)::BIGINT END AS k FROM w WHERE len(w) > 0),
+each AS (SELECT *, unnest(range(k)) AS i FROM k),
+chunk AS (SELECT doc_id, source, text, i AS chunk_index, CASE WHEN k = 1 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g')
+  WHEN i = 0 THEN array_to_string(w[1:600], ' ') ELSE array_to_string(w[540 * i + 1:540 * i + 60], ' ') || chr(10) || chr(10) || array_to_string(w[540 * i + 1:540 * i + 600], ' ') END AS chunk_text FROM each)
+"""
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, chunk_index, chunk_text, sha256(chunk_text) AS chunk_hash FROM chunk")
+def chunk_windows(spark, sf_dir):
+    return content.chunk_rows(documents(spark, sf_dir)).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_text", "chunk_hash")
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, chunk_index, 'chunk_' || sha256(sha256(source || '::text://' || doc_id) || '::' || sha256(text)) || '_' || lpad(chunk_index::VARCHAR, greatest(4, length(chunk_index::VARCHAR))::INT, '0') AS chunk_id FROM chunk")
+def chunk_ids(spark, sf_dir):
+    doc = T.document_id("source", F.concat(F.lit("text://"), F.col("doc_id").cast("string")))
+    return content.chunk_rows(documents(spark, sf_dir)).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), T.chunk_id(doc, T.version_id("text"), "chunk_index").alias("chunk_id"))
+
+
+@query(f"WITH {CHUNKS}, n AS (SELECT doc_id, chunk_index, len(list_filter(regexp_split_to_array(chunk_text, '\\s+'), lambda x: x <> '')) AS n FROM chunk) SELECT doc_id, count(*) AS n_chunks, sum(greatest(1, floor(n / 0.75::DOUBLE)))::BIGINT AS n_tokens FROM n GROUP BY doc_id")
+def chunk_tokens(spark, sf_dir):
+    return content.chunk_rows(documents(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, chunk_index, '[Document: ' || doc_id || '.txt | Location: ' || source || ' | About: ' || substr(text, 1, 240) || ']' || chr(10) || chunk_text AS chunk FROM chunk")
+def chunk_context_header(spark, sf_dir):
+    head = T.context_header(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("source"), F.lit(""), F.col("text"), F.lit(None).cast("string"))
+    return content.chunk_rows(documents(spark, sf_dir)).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), T.with_header(head, F.col("chunk_text")).alias("chunk"))
+
+
+@query(f"WITH {KEYWORDS}, k AS (SELECT doc_id, string_agg(token, ', ' ORDER BY rank) AS k FROM ranked WHERE rank <= 8 GROUP BY doc_id) SELECT doc_id, regexp_replace('Title: ' || doc_id || '.txt' || chr(10) || 'Location: ' || source || chr(10) || substr(text, 1, 1200) || coalesce(chr(10) || 'Keywords: ' || k, ''), '\\s+$', '') AS record FROM documents LEFT JOIN k USING (doc_id)")
+def summary_record_text(spark, sf_dir):
+    made = T.summary_record(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("source"), F.lit(""), F.substring("text", 1, 1200), content.keywords("text"))
+    return documents(spark, sf_dir).select("doc_id", made.alias("record"))
+
+
+# -- pages ------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", readers.html_text("html").alias("text"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", readers.html_title("html").alias("title"))
+
+
+@query(
+    r"""
+SELECT page_id, n, href FROM (SELECT page_id, unnest(range(len(h))) AS n, unnest(h) AS href FROM (
+  SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1, 'i'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(mailto:|tel:|javascript:|#)')) AS h FROM pages))
+"""
+)
+def html_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(readers.html_links("html")).alias("n", "href")).withColumn("n", F.col("n").cast("bigint"))
+
+
+_AUTHORITY, _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)", "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower({_AUTHORITY}) || regexp_replace(CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END, '(.)/$', '\\1') AS url FROM pages")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.normalize_url("url").alias("url"))
+
+
+_SITE = f"regexp_replace(regexp_replace(lower({_AUTHORITY}), ':[0-9]*$', ''), '^www\\.', '')"
+
+
+@query(f"WITH s AS (SELECT page_id, {_SITE} AS site FROM pages), m AS (SELECT min(site) AS home FROM s WHERE site <> '') SELECT page_id, site, site = home OR ends_with(site, '.' || home) AS in_scope FROM s, m")
+def url_scope(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", T.url_authority("url").alias("authority"))
+    home = pages.where(T.site_of("authority") != "").agg(F.min(T.site_of("authority")).alias("home"))
+    return pages.crossJoin(home).select("page_id", T.site_of("authority").alias("site"), T.in_site("authority", "home").alias("in_scope"))
+
+
+FOLDERS = f"""
+f AS (SELECT page_id, regexp_replace({_AUTHORITY} || '/' || array_to_string(list_filter(string_split({_PATH}, '/'), lambda p: p <> '')[:-2], '/'), '/+$', '') AS folder FROM pages),
+chain AS (SELECT page_id, folder, string_split(folder, '/') AS p FROM f)
+"""
+
+
+@query(f"WITH {FOLDERS} SELECT page_id, folder FROM f")
+def folder_of(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.folder_of("url").alias("folder"))
+
+
+@query(f"WITH {FOLDERS}, up AS (SELECT page_id, p, unnest(range(1, len(p))) AS depth FROM chain) SELECT page_id, (len(p) - depth)::BIGINT AS distance, array_to_string(p[:depth], '/') AS ancestor FROM up")
+def folder_ancestors(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.ancestors(T.folder_of("url"))).alias("distance", "ancestor")).withColumn("distance", (F.col("distance") + 1).cast("bigint"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = readers.html_text("html")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri"), readers.html_title("html").alias("title"), T.folder_of("url").alias("folder"), F.substring(text, 1, 300).alias("summary"), F.col("page_id").alias("seq"))
+
+
+MEMBERS = f"""{FOLDERS}, member AS (
+  SELECT page_id, array_to_string(p[:d], '/') AS key, CASE WHEN d < len(p) THEN array_to_string(p[:d + 1], '/') END AS child, d = len(p) AS direct
+  FROM (SELECT *, unnest(range(1, len(p) + 1)) AS d FROM chain))
+"""
+
+
+@query(f"WITH {MEMBERS} SELECT key, count(*) AS n_total, count(*) FILTER (WHERE direct) AS n_direct, count(DISTINCT child) AS n_subfolders FROM member GROUP BY key")
+def folder_rollup_counts(spark, sf_dir):
+    return rollups.folder_counts(_pages(spark, sf_dir))
+
+
+_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    f"""
+WITH {MEMBERS}, n AS (SELECT key, count(*) AS t, count(*) FILTER (WHERE direct) AS d, count(DISTINCT child) AS s FROM member GROUP BY key),
+page AS (SELECT page_id, CASE WHEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) <> '' THEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) ELSE url END AS name, substr({_TEXT}, 1, 300) AS summary FROM pages),
+nth AS (SELECT key, name, summary, row_number() OVER (PARTITION BY key ORDER BY page_id) AS i FROM member JOIN page USING (page_id)),
+listed AS (SELECT key, string_agg(name, ', ' ORDER BY i) FILTER (WHERE i <= 8) AS names, string_agg('- ' || name || ': ' || substr(summary, 1, 240), chr(10) ORDER BY i) FILTER (WHERE i <= 30) AS lines FROM nth GROUP BY key),
+sub AS (SELECT key, string_agg(string_split(child, '/')[-1], ', ' ORDER BY child) FILTER (WHERE i <= 12) AS subs FROM (SELECT key, child, row_number() OVER (PARTITION BY key ORDER BY child) AS i FROM (SELECT DISTINCT key, child FROM member WHERE child IS NOT NULL)) GROUP BY key)
+SELECT key, 'Folder: ' || key || chr(10) || 'Holds ' || t || ' document(s) in total (' || d || ' directly, across ' || s || ' sub-folder(s)).' || chr(10)
+  || coalesce('Sub-folders: ' || subs || chr(10), '') || 'Key documents: ' || names || chr(10) || chr(10) || 'Contents:' || chr(10) || lines AS text
+FROM n JOIN listed USING (key) LEFT JOIN sub USING (key)
+"""
+)
+def folder_rollup_text(spark, sf_dir):
+    return rollups.folder_rollups(_pages(spark, sf_dir), summarize=False).select("key", "text")
+
+
+def _sectioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = documents(spark, sf_dir)
+    items = docs.select("doc_id", F.concat(F.lit("text://"), F.col("doc_id").cast("string")).alias("uri"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("title"), F.substring("text", 1, 400).alias("summary"), F.col("doc_id").alias("seq"))
+    sections = docs.select(F.sha2("lang", 256).alias("section_id"), F.col("lang").alias("name")).distinct()
+    return sections, docs.select(F.sha2("lang", 256).alias("section_id"), "doc_id"), items
+
+
+@query("SELECT doc_id, [sha256(lang)] AS section_ids FROM documents")
+def section_membership(spark, sf_dir):
+    _, member, _ = _sectioned(spark, sf_dir)
+    return member.groupBy("doc_id").agg(F.sort_array(F.collect_set("section_id")).alias("section_ids"))
+
+
+@query(
+    """
+WITH nth AS (SELECT lang, text, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT sha256(lang) AS key, 'Section: ' || lang || chr(10) || n || ' document(s).' || chr(10) || chr(10) || 'Contents:' || chr(10) || string_agg('- ' || doc_id || '.txt: ' || substr(text, 1, 300), chr(10) ORDER BY i) AS text
+FROM nth WHERE i <= 50 GROUP BY lang, n
+"""
+)
+def section_rollup(spark, sf_dir):
+    return rollups.section_rollups(*_sectioned(spark, sf_dir), summarize=False).select("key", "text")
+
+
+@query()
+def site_crawl(spark, sf_dir):
+    """Crawl from the first page through its site, over the table of pages."""
+    pages = table(spark, sf_dir, "pages")
+    start = pages.orderBy("page_id").first()["url"]
+    return connectors.crawl(pages, start, from_root=False)
+
+
+# -- profiles ---------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, length(regexp_replace(substr(text, 1, 2000), '[^\p{L}\p{M}\p{N}\p{P}\p{S} \t\r\n]', '', 'g')) / length(substr(text, 1, 2000)) AS share FROM documents WHERE text <> ''")
+def printable_ratio(spark, sf_dir):
+    return documents(spark, sf_dir).where("text <> ''").select("doc_id", T.printable_share("text").alias("share"))
+
+
+@query(
+    f"WITH {KEYWORDS}, k AS (SELECT doc_id, string_agg(token, ', ' ORDER BY rank) FILTER (WHERE rank <= 5) AS k FROM ranked GROUP BY doc_id) SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' ELSE 'prose' END AS modality, CASE WHEN trim(text) = '' THEN '{content.NO_TEXT}' WHEN k IS NOT NULL THEN 'Prose document about ' || k || '.' ELSE 'Document beginning: ' || substr(string_split(regexp_replace(text, '^\\s+', ''), chr(10))[1], 1, 200) END AS description FROM documents LEFT JOIN k USING (doc_id)"
+)
+def modality_classify(spark, sf_dir):
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.col("text"), F.lit("").alias("location")))
+    p = documents(spark, sf_dir).select("doc_id", content.profile(blocks, F.lit("txt")).alias("p"))
+    return p.select("doc_id", "p.modality", "p.description")
+
+
+_PROFILED = {
+    "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    "orders": ("o_orderkey", ["o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]),
+    "events": ("event_id", ["event_id", "ts", "user_id", "event_type", "props"]),
+}
+
+
+def _types(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Votes of all values of all columns, in one pass and one shuffle."""
+    columns = _PROFILED[name][1]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("c")
+    voted = table(spark, sf_dir, name).select(cells).select("c.*").groupBy("column").agg(*content.type_votes("value"))
+    return voted.select(F.lit(name).alias("table_name"), "column", content.voted_type().alias("inferred_type"), "n_values")
+
+
+_VOTES = ", ".join(f"count(*) FILTER (WHERE regexp_matches(v, '{p.replace('(?i)', '')}'{', ' + repr('i') if p.startswith('(?i)') else ''})) AS is_{n}" for n, p in content.TYPE_TESTS.items())
+_CELLS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS \"column\", trim({c}::VARCHAR) AS v FROM {t}" for t, (_, cs) in _PROFILED.items() for c in cs)
+
+
+@query(f"WITH cells AS ({_CELLS}), votes AS (SELECT table_name, \"column\", count(*) AS n_values, avg(length(v)) AS mean, {_VOTES} FROM cells WHERE v <> '' GROUP BY ALL) SELECT table_name, \"column\", CASE " + " ".join(f"WHEN is_{n} / n_values >= 0.8 THEN '{n}'" for n in content.TYPE_TESTS) + " WHEN mean > 40 THEN 'text' ELSE 'category' END AS inferred_type, n_values FROM votes")
+def column_type_inference(spark, sf_dir):
+    parts = [_types(spark, sf_dir, name) for name in _PROFILED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT 'sql://db/{t}' AS uri, 'Table: {t} (~' || (SELECT count(*) FROM {t}) || ' rows)' AS title, '{','.join(cs)}' || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY k) || chr(13) || chr(10) AS data FROM (SELECT {k} AS k, concat_ws(',', {', '.join(f'{c}::VARCHAR' if c != 'props' else f'chr(34) || replace({c}, chr(34), repeat(chr(34), 2)) || chr(34)' for c in cs)}) AS line FROM {t} ORDER BY {k} LIMIT 10)" for t, (k, cs) in _PROFILED.items()))
+def table_assets(spark, sf_dir):
+    """Tables as sampled assets, as a database connector gives them."""
+    made = connectors.chained(connectors.sampled_table(table(spark, sf_dir, t).select(*cs), t, [k], "db") for t, (k, cs) in _PROFILED.items())
+    return made.select("uri", "title", F.decode("data", "UTF-8").alias("data"))
+
+
+@query()
+def table_profile(spark, sf_dir):
+    """Profiles of the same assets, as the build makes them."""
+    made = connectors.chained(connectors.sampled_table(table(spark, sf_dir, t).select(*cs), t, [k], "db") for t, (k, cs) in _PROFILED.items())
+    read = made.withColumn("blocks", readers.parsed("name", "data"))
+    return read.select("uri", content.profile("blocks", "media_type").alias("p")).select("uri", "p.modality", "p.row_count", "p.description", F.transform("p.columns", lambda c: F.concat(c["name"], F.lit(":"), c["inferred_type"])).alias("types"))
+
+
+# -- versions ---------------------------------------------------------------------
+
+
+def _editions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents, and a second edition in which every third one changed."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+
+    def versions(df: DataFrame, at: float) -> DataFrame:
+        flags = [F.lit(True).alias(f) for f in ("is_current", "parsed", "summarized", "chunked", "embedded")]
+        return df.select(F.col("doc_id").cast("string").alias("doc_id"), F.sha2("text", 256).alias("version_id"), F.sha2("text", 256).alias("content_hash"), F.length("text").cast("bigint").alias("size"), *flags, F.lit("").alias("summary"), F.array().cast("array<string>").alias("keywords"), F.lit(at).alias("created_at"))
+
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")))
+    return versions(docs, 1.0), versions(changed, 2.0)
+
+
+_EDITIONS = "two AS (SELECT doc_id, sha256(text) AS a, sha256(CASE WHEN doc_id % 3 = 0 THEN text || ' revised' ELSE text END) AS b FROM documents)"
+
+
+@query(f"WITH {_EDITIONS} SELECT doc_id::VARCHAR AS doc_id, a AS version_id, a = b AS is_current, 1.0::DOUBLE AS created_at FROM two UNION ALL SELECT doc_id::VARCHAR, b, true, 2.0::DOUBLE FROM two WHERE a <> b")
+def version_timeline(spark, sf_dir):
+    old, new = _editions(spark, sf_dir)
+    return stores.upsert_versions(old, new).select("doc_id", "version_id", "is_current", "created_at")
+
+
+@query(f"WITH {_EDITIONS} SELECT count(*) FILTER (WHERE a <> b) AS archived, count(*) AS current FROM two")
+def archive_current(spark, sf_dir):
+    old, new = _editions(spark, sf_dir)
+    return stores.upsert_versions(old, new).agg(F.count(F.when(~F.col("is_current"), 1)).alias("archived"), F.count(F.when(F.col("is_current"), 1)).alias("current"))
+
+
+@query(f"WITH {_EDITIONS} SELECT doc_id::VARCHAR AS doc_id, a = b AS skipped FROM two")
+def incremental_skip(spark, sf_dir):
+    old, new = _editions(spark, sf_dir)
+    known = indexing.unchanged(new, old).withColumn("known", F.lit(True))
+    return new.join(known, ["doc_id", "content_hash"], "left").select("doc_id", F.col("known").isNotNull().alias("skipped"))
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'indexed' ELSE 'skipped' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def build_counters(spark, sf_dir):
+    return incremental_skip(spark, sf_dir).groupBy(F.when(F.col("skipped"), "skipped").otherwise("indexed").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CHUNKS} SELECT 'file_summary' AS doc_type, count(*) AS n FROM documents UNION ALL SELECT 'chunk', count(*) FROM chunk")
+def catalog_stats(spark, sf_dir):
+    none = spark.createDataFrame([], stores.SCHEMAS["membership"])
+    docs = indexing.analysed(indexing.identified(assets(spark, sf_dir))).withColumn("is_current", F.lit(True))
+    return indexing.records_of(docs, none).groupBy("doc_type").agg(F.count("*").alias("n"))
+
+
+# -- memory -----------------------------------------------------------------------
+
+_TURNS = 3
+_SAID = r"said AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE trim(text) <> ''), nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM said)"
+
+
+@query(f"WITH {_SAID} SELECT conv_id, turn, role, text FROM nth WHERE back <= {_TURNS}")
+def conversation_recent_turns(spark, sf_dir):
+    folded = memory.folded(table(spark, sf_dir, "conversations"), _TURNS)
+    return folded.select("conv_id", F.explode("recent").alias("t")).select("conv_id", "t.*")
+
+
+_QUERY = f"""
+WITH {_SAID},
+old AS (SELECT conv_id, string_agg(regexp_replace(role || ': ' || substr(text, 1, 300), '\\s+$', ''), chr(10) ORDER BY back DESC) AS s FROM nth WHERE back > {_TURNS} GROUP BY conv_id),
+own AS (SELECT conv_id, string_agg(text, ' ' ORDER BY back DESC) FILTER (WHERE role = 'user') AS u FROM nth WHERE back <= {_TURNS} GROUP BY conv_id)
+SELECT conv_id, right(concat_ws(chr(10), nullif(right(s, 2000), ''), nullif(u, ''), 'and then?'), 4000) AS context_query FROM own LEFT JOIN old USING (conv_id)
+"""
+
+
+@query(_QUERY)
+def conversation_context_query(spark, sf_dir):
+    folded = memory.folded(table(spark, sf_dir, "conversations"), _TURNS)
+    return memory.context_query(folded, F.lit("and then?"))
 
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best eight documents for one question."""
+    question = spark.createDataFrame([(0, "how does the summary describe the first section?")], "query_id bigint, query string")
+    return search.hybrid(records(spark, sf_dir), question, 8)
