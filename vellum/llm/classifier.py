@@ -196,7 +196,9 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    # By place, as names may hold dots.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names).mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
