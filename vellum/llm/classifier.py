@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.shared import col
-from vellum.llm.textkit import _VALUE, _WORD, U64, gram_hashes, mix64, slices, span_hashes, spans_of, text_buffers
+from vellum.llm.textkit import _VALUE, _WORD, U64, gram_hashes, mix64, slices, span_hashes, spans_of, text_buffers, tidy
 
 CLASSES = ("clean", "low_quality", "toxic")
 #: Most labelled rows that training uses.
@@ -40,6 +40,8 @@ GRAMS = (3, 4, 5)
 EPOCHS = 5
 RATE = 4.0
 SEED = 17
+#: Bytes of text worked on at once; the arrays of n-grams grow with it.
+SLICE = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BUCKET_BITS = U64(64 - BUCKETS.bit_length() + 1)
@@ -172,11 +174,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_column: str
     """(doc_id, label, clean, keep) of every row; `clean` is the probability."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits, bias = held.value
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 p = scores_of(raw, offsets[a : b + 1], logits, bias)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.array(CLASSES)[p.argmax(axis=1)]), pa.array(p[:, 0]), pa.array(p.argmax(axis=1) == 0)], ["doc_id", "label", "clean", "keep"])
 
@@ -187,11 +190,12 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
     """The rows that the model takes for clean, columns unchanged, no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits, bias = held.value
         for batch in batches:
             raw, offsets = text_buffers(batch.column(at))
-            keep = [scores_of(raw, offsets[a : b + 1], logits, bias).argmax(axis=1) == 0 for a, b in slices(offsets)]
+            keep = [scores_of(raw, offsets[a : b + 1], logits, bias).argmax(axis=1) == 0 for a, b in slices(offsets, SLICE)]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 

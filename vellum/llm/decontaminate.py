@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.shared import col, content_key, fresh, written
-from vellum.llm.textkit import U64, token_slices
+from vellum.llm.textkit import U64, tidy, token_slices
 
 #: Least share of an item's terms for a proximity match, and words of slack.
 SHARE, SLOP = 0.8, 2
@@ -55,6 +55,7 @@ def _unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype)
 
 
+@tidy
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, t in token_slices(batch.column(2), SEGMENT_BYTES):
@@ -145,6 +146,7 @@ def match_segment(items: Items, first: np.ndarray, terms: np.ndarray, counts: np
 def _search_group(index: DataFrame, ids: list, texts: list[str]) -> DataFrame:
     held = index.sparkSession.sparkContext.broadcast((ids, texts))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*held.value)
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.components import components
 from vellum.llm.shared import col, content_key, fresh, written
-from vellum.llm.textkit import U64, binary_column, mix64, sorted_unique, token_slices
+from vellum.llm.textkit import U64, binary_column, mix64, sorted_unique, tidy, token_slices
 
 BITS, SEGMENTS, RINGS = 256, 8, 10
 #: Most differing bits of near-duplicates.
@@ -74,6 +74,7 @@ def fingerprints_of(row: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndar
     return np.packbits(2 * ones > count[:, None], axis=1, bitorder="little"), count
 
 
+@tidy
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, tokens in token_slices(batch.column(2)):
@@ -99,6 +100,7 @@ def segment_values(prints: np.ndarray) -> np.ndarray:
     return out.reshape(len(prints), -1)
 
 
+@tidy
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
@@ -180,6 +182,7 @@ def _pairs_within(prints: np.ndarray, first: np.ndarray, limit: int) -> tuple[np
 def _by_segment(of_runs: Callable[[pa.Table], pa.RecordBatch]):
     """Apply `of_runs` to whole runs of equal segments of a sorted stream."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
