@@ -267,6 +267,38 @@ def test_near_duplicates_recall(spark):
     assert len(pairs) > 100 and len(met) >= 0.9 * len(pairs)
 
 
+def isolated_pairs(distance, n=400, seed=0):
+    """(2n, 32) fingerprints: each even row has one other within reach, the next."""
+    rng = np.random.RandomState(seed)
+    bits = np.repeat(rng.randint(0, 2, (n, simhash.BITS), dtype=np.uint8), 2, axis=0)
+    for i in range(n):
+        bits[2 * i + 1, rng.choice(simhash.BITS, distance, replace=False)] ^= 1
+    return np.packbits(bits, axis=1, bitorder="little")
+
+
+@pytest.mark.parametrize("distance", [20, 26, 30, simhash.MAX_DISTANCE])
+def test_near_duplicates_recall_of_isolated_pairs(spark, distance):
+    prints = isolated_pairs(distance)
+    nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "node bigint, print binary")
+    met = {(r.a, r.b) for r in simhash.fingerprint_links(nodes).collect()}
+    assert met <= {(i, i + 1) for i in range(0, len(prints), 2)} and len(met) >= 0.9 * len(prints) / 2
+
+
+def test_links_connect_what_all_pairs_connect():
+    rng = np.random.RandomState(1)
+    for n in (2, 3, 20, 120):
+        bits = rng.randint(0, 2, (4, simhash.BITS), dtype=np.uint8)[rng.randint(0, 4, n)] ^ (rng.random_sample((n, simhash.BITS)) < 0.065)
+        prints = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
+        pairs = [(a, b) for a, b in itertools.combinations(range(n), 2) if np.bitwise_count(prints[a] ^ prints[b]).sum() <= 34]
+        labels = []
+        for links in (pairs, simhash.link_members(prints, 34)):
+            label = list(range(n))
+            for a, b in links:
+                label = [label[a] if x == label[b] else x for x in label]
+            labels.append([label.index(x) for x in label])
+        assert labels[0] == labels[1]
+
+
 def test_chain_filter_never_drops_a_near_pair():
     rng = np.random.RandomState(0)
     spread = rng.multinomial(34, np.ones(8) / 8, 5000)

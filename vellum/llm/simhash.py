@@ -1,16 +1,18 @@
 """SimHash near-duplicate groups with pigeonring filtering.
 
 Every document gets a 256-bit SimHash of its distinct words.  A *ring* is one
-fixed permutation of those bits cut into eight consecutive 32-bit segments.
-Two fingerprints within Hamming distance t have, on every ring, a start from
-which each chain of l consecutive segments differs in at most l*t/8 bits (the
-pigeonring principle).  Fingerprints meet where the first segment of such a
-chain agrees exactly on one of ten rings; a candidate whose every chain
-breaks its proportional budget is pruned before the full Hamming check.
-
-Meeting by an exact segment is where the search is approximate: a pair is
-missed when no segment of any ring agrees.  Measured recall against all pairs
-is kept above 0.9 by a test.
+fixed permutation of those bits; ten consecutive 24-bit keys are cut from each
+of RINGS rings, and fingerprints meet where a key agrees exactly.  Of what
+meets, a pair is near if its Hamming distance is within the limit.  Two
+fingerprints within distance t have a start from which each chain of l
+consecutive of eight 32-bit segments differs in at most l*t/8 bits (the
+pigeonring principle); pairs without such a start are left out of that check.
+
+Meeting by an exact key is where the search is approximate: a pair is missed
+when no key of any ring agrees.  Two fingerprints that differ in d bits agree in
+a key with probability C(256-24, d) / C(256, d), which makes 0.96 over all keys
+at d = MAX_DISTANCE.  A test keeps the recall of isolated pairs, which no third
+copy can join, above 0.9 up to that distance.
 
 Within a set of fingerprints that meet, members are linked to leaders, and
 leaders' followers are compared across until their sets are joined, so a set of
@@ -35,7 +37,9 @@ from vellum.llm.components import components
 from vellum.llm.shared import col, content_key, fresh, written
 from vellum.llm.textkit import U64, binary_column, mix64, sorted_unique, tidy, token_slices
 
-BITS, SEGMENTS, RINGS = 256, 8, 10
+BITS, SEGMENTS, RINGS = 256, 8, 12
+#: Bits of a key and keys of a ring.
+KEY_BITS, KEYS = 24, 10
 #: Most differing bits of near-duplicates.
 MAX_DISTANCE = 34
 
@@ -91,13 +95,14 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return source.mapInArrow(_fingerprint_batches, "doc_id bigint, key bigint, print binary, n_words bigint").where("n_words > 0")
 
 
-def segment_values(prints: np.ndarray) -> np.ndarray:
-    """(n, RINGS * SEGMENTS) segment values of (n, 32) fingerprints."""
-    out = np.empty((len(prints), RINGS, SEGMENTS), dtype=np.uint32)
+def key_values(prints: np.ndarray) -> np.ndarray:
+    """(n, RINGS * KEYS) key values of (n, 32) fingerprints."""
+    out = np.zeros((len(prints), RINGS, KEYS, 4), dtype=np.uint8)
     bits = np.unpackbits(prints, axis=1, bitorder="little")
     for r, order in enumerate(_PERMUTATIONS):
-        out[:, r] = np.packbits(np.ascontiguousarray(bits[:, order]), axis=1, bitorder="little").view(np.uint32)
-    return out.reshape(len(prints), -1)
+        cut = bits[:, order[: KEYS * KEY_BITS]].reshape(len(prints), KEYS, KEY_BITS)
+        out[:, r, :, : KEY_BITS // 8] = np.packbits(cut, axis=2, bitorder="little")
+    return out.view(np.uint32).reshape(len(prints), -1)
 
 
 @tidy
@@ -106,8 +111,8 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             prints = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-            values = segment_values(prints).astype(np.int64) | (np.arange(RINGS * SEGMENTS, dtype=np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), RINGS * SEGMENTS))], ["segment", "node"])
+            values = key_values(prints).astype(np.int64) | (np.arange(RINGS * KEYS, dtype=np.int64) << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), RINGS * KEYS))], ["segment", "node"])
 
 
 def chain_filter(distances: np.ndarray, limit: int) -> np.ndarray:
@@ -144,24 +149,17 @@ def link_members(prints: np.ndarray, limit: int) -> list[tuple[int, int]]:
         leader[rest[close]] = head
         links += [(head, m) for m in rest[close]]
         left = rest[~close]
-    parent = {h: h for h in leaders}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    sets = {h: np.flatnonzero(leader == h) for h in leaders}
-    for i, a in enumerate(leaders):
-        for b in leaders[i + 1 :]:
-            if root(a) == root(b) or len(sets[a]) == len(sets[b]) == 1:
-                continue
-            for x in sets[a]:
-                close = near(np.broadcast_to(prints[x], (len(sets[b]), prints.shape[1])).copy(), prints[sets[b]], limit)
-                if close.any():
-                    links.append((x, sets[b][np.argmax(close)]))
-                    parent[root(b)] = root(a)
-                    break
+    # Leaders were compared with each other, so only sets with followers are left.
+    joined = leader.copy()
+    for h in np.flatnonzero(np.bincount(leader, minlength=n) > 1):
+        for x in np.flatnonzero(leader == h):
+            rest = np.flatnonzero(joined != joined[h])
+            if not len(rest):
+                break
+            close = rest[near(np.broadcast_to(prints[x], (len(rest), prints.shape[1])).copy(), prints[rest], limit)]
+            sets, at = np.unique(joined[close], return_index=True)
+            links += [(x, m) for m in close[at]]
+            joined[np.isin(joined, sets)] = joined[h]
     return links
 
 
@@ -225,8 +223,8 @@ def _links(limit: int) -> Callable[[pa.Table], pa.RecordBatch]:
 
 def fingerprint_links(nodes: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
     """(a, b) links between nodes (node bigint, print binary) that are near."""
-    # Two narrow numbers per segment are shuffled; only what meets, a small
-    # part, then gets its fingerprint.
+    # Two narrow numbers per key are shuffled; only what meets then gets its
+    # fingerprint.
     pairs = nodes.mapInArrow(_segment_batches, "segment bigint, node bigint").repartition("segment").sortWithinPartitions("segment")
     met = pairs.mapInArrow(_by_segment(_met), "segment bigint, node bigint").join(nodes, "node").select("segment", "node", "print")
     return met.repartition("segment").sortWithinPartitions("segment", "node").mapInArrow(_by_segment(_links(limit)), "a bigint, b bigint").distinct()
