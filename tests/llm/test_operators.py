@@ -299,6 +299,27 @@ def test_links_connect_what_all_pairs_connect():
         assert labels[0] == labels[1]
 
 
+def edited_pairs(rng, n, length, changed):
+    """Texts of which each even one and the next share all but `changed` words."""
+    texts = []
+    for i in range(n):
+        base = [f"b{i}x{j}" for j in range(length)]
+        copy = [f"c{i}x{j}" for j in range(changed)] + base[changed:]
+        texts += [" ".join(base), " ".join(rng.sample(copy, length))]
+    return texts
+
+
+def test_near_duplicates_by_planted_edits(spark):
+    rng = random.Random(10)
+    # Jaccard similarity 190/210, 180/220 and 15/25; unrelated texts besides.
+    texts = edited_pairs(rng, 100, 200, 10) + edited_pairs(rng, 100, 200, 20) + edited_pairs(rng, 100, 20, 5)
+    texts = [t.replace("b", f"p{i // 200}b").replace("c", f"p{i // 200}c") for i, t in enumerate(texts)]
+    group = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(frame(spark, texts)).collect()}
+    caught = [i for i in range(0, len(texts), 2) if i in group and group[i] == group.get(i + 1)]
+    assert sum(i < 200 for i in caught) >= 99 and sum(200 <= i < 400 for i in caught) >= 90
+    assert max(group) < 400 and all(g in (i, i - 1) for i, g in group.items())
+
+
 def test_chain_filter_never_drops_a_near_pair():
     rng = np.random.RandomState(0)
     spread = rng.multinomial(34, np.ones(8) / 8, 5000)

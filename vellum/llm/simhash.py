@@ -3,16 +3,22 @@
 Every document gets a 256-bit SimHash of its distinct words.  A *ring* is one
 fixed permutation of those bits; ten consecutive 24-bit keys are cut from each
 of RINGS rings, and fingerprints meet where a key agrees exactly.  Of what
-meets, a pair is near if its Hamming distance is within the limit.  Two
+meets, a pair is near if its Hamming distance is within MAX_DISTANCE, or if it
+is within WIDE_DISTANCE and the sets of words have a Jaccard similarity of
+SIMILAR or more.  At that similarity fingerprints of documents of like length
+differ in 39 bits on average, with a standard deviation of 6, so the wide limit
+leaves two deviations of room; unrelated short documents begin to come within
+it on large tables, which is why words are compared there.  Two
 fingerprints within distance t have a start from which each chain of l
 consecutive of eight 32-bit segments differs in at most l*t/8 bits (the
 pigeonring principle); pairs without such a start are left out of that check.
 
 Meeting by an exact key is where the search is approximate: a pair is missed
 when no key of any ring agrees.  Two fingerprints that differ in d bits agree in
-a key with probability C(256-24, d) / C(256, d), which makes 0.96 over all keys
-at d = MAX_DISTANCE.  A test keeps the recall of isolated pairs, which no third
-copy can join, above 0.9 up to that distance.
+a key with probability C(256-24, d) / C(256, d), which makes 0.999 over all keys
+at 34 bits, 0.98 at 40, 0.92 at 44, 0.79 at 48 and 0.71 at 50.  Tests keep the
+recall of isolated pairs, which no third copy can join, above 0.9 up to
+MAX_DISTANCE and at a similarity just above SIMILAR.
 
 Within a set of fingerprints that meet, members are linked to leaders, and
 leaders' followers are compared across until their sets are joined, so a set of
@@ -37,11 +43,16 @@ from vellum.llm.components import components
 from vellum.llm.shared import col, content_key, fresh, written
 from vellum.llm.textkit import U64, binary_column, mix64, sorted_unique, tidy, token_slices
 
-BITS, SEGMENTS, RINGS = 256, 8, 12
+BITS, SEGMENTS, RINGS = 256, 8, 30
 #: Bits of a key and keys of a ring.
 KEY_BITS, KEYS = 24, 10
-#: Most differing bits of near-duplicates.
+#: Most differing bits of near-duplicates whatever their words.
 MAX_DISTANCE = 34
+#: Most differing bits, and least Jaccard similarity, where words are compared.
+WIDE_DISTANCE, SIMILAR = 50, 0.8
+
+#: Rows of a run whose pairs are all compared.
+SMALL_RUN = 16
 
 _SEEDS = mix64(np.arange(1, 5, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _PERMUTATIONS = [np.arange(BITS)] + [np.random.RandomState(s).permutation(BITS) for s in range(1, RINGS)]
@@ -163,14 +174,41 @@ def link_members(prints: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return links
 
 
-def _pairs_within(prints: np.ndarray, first: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run of rows; runs of two, the most, are done at once."""
+def doubtful_pairs(prints: np.ndarray, links: list[tuple[int, int]], wide: int) -> list[tuple[int, int]]:
+    """All pairs within `wide` bits that the links leave in different sets."""
+    joined = np.arange(len(prints))
+    for a, b in links:
+        joined[joined == joined[b]] = joined[a]
+    out = []
+    for x in range(len(prints)):
+        rest = x + 1 + np.flatnonzero(joined[x + 1 :] != joined[x])
+        if len(rest):
+            close = near(np.broadcast_to(prints[x], (len(rest), prints.shape[1])).copy(), prints[rest], wide)
+            out += [(x, m) for m in rest[close]]
+    return out
+
+
+def _pairs_within(prints: np.ndarray, first: np.ndarray, limit: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within `wide` bits inside each run of rows.
+
+    All of them where runs are small, as most are, runs of one size at once;
+    elsewhere links for those within `limit` and what these leave apart.
+    """
     size = np.diff(first)
-    two = first[:-1][size == 2]
-    close = two[near(prints[two], prints[two + 1], limit)] if len(two) else two
-    a, b = [close], [close + 1]
-    for s, e in zip(first[:-1][size > 2], first[1:][size > 2]):
-        if links := link_members(prints[s:e], limit):
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in range(2, SMALL_RUN + 1):
+        begin, (i, j) = first[:-1][size == n], np.triu_indices(n, 1)
+        step = max(1, 50_000 // len(i))
+        for at in range(0, len(begin), step):
+            x, y = ((begin[at : at + step, None] + k).ravel() for k in (i, j))
+            close = near(prints[x], prints[y], wide)
+            a.append(x[close])
+            b.append(y[close])
+    for s, e in zip(first[:-1][size > SMALL_RUN], first[1:][size > SMALL_RUN]):
+        links = link_members(prints[s:e], limit)
+        if wide > limit:
+            links = links + doubtful_pairs(prints[s:e], links, wide)
+        if links:
             x, y = np.array(links).T
             a.append(x + s)
             b.append(y + s)
@@ -210,27 +248,53 @@ def _met(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([kept.column(i).combine_chunks() for i in range(2)], ["segment", "node"])
 
 
-def _links(limit: int) -> Callable[[pa.Table], pa.RecordBatch]:
+def _links(limit: int, wide: int) -> Callable[[pa.Table], pa.RecordBatch]:
     def run(table: pa.Table) -> pa.RecordBatch:
         node = table.column("node").to_numpy()
         prints = np.frombuffer(b"".join(table.column("print").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-        a, b = _pairs_within(prints, _runs(table), limit)
-        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        a, b = _pairs_within(prints, _runs(table), limit, wide)
+        _, at = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0, return_index=True)
+        a, b = a[at], b[at]
+        sure = near(prints[a], prints[b], limit)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(sure)], ["a", "b", "sure"])
 
     return run
 
 
-def fingerprint_links(nodes: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b) links between nodes (node bigint, print binary) that are near."""
+def fingerprint_links(nodes: DataFrame, limit: int = MAX_DISTANCE, wide: int | None = None) -> DataFrame:
+    """(a, b, sure) links between nodes (node bigint, print binary) that meet.
+
+    `sure` ones are within `limit` bits; others, where `wide` is given, within that.
+    """
     # Two narrow numbers per key are shuffled; only what meets then gets its
     # fingerprint.
     pairs = nodes.mapInArrow(_segment_batches, "segment bigint, node bigint").repartition("segment").sortWithinPartitions("segment")
     met = pairs.mapInArrow(_by_segment(_met), "segment bigint, node bigint").join(nodes, "node").select("segment", "node", "print")
-    return met.repartition("segment").sortWithinPartitions("segment", "node").mapInArrow(_by_segment(_links(limit)), "a bigint, b bigint").distinct()
+    return met.repartition("segment").sortWithinPartitions("segment", "node").mapInArrow(_by_segment(_links(limit, max(limit, wide or 0))), "a bigint, b bigint, sure boolean").distinct()
+
+
+@tidy
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, tokens in token_slices(batch.column(1)):
+            order = np.lexsort((tokens.hash, tokens.row))
+            row, word = tokens.row[order], tokens.hash[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])) if len(row) else np.zeros(0, np.int64)
+            offsets = np.searchsorted(row[new], np.arange(b - a + 1)).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word[new].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), words], ["node", "words"])
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The (a, b) of pairs whose texts (node, text) have similar sets of words."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    words = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_word_batches, "node bigint, words array<bigint>")
+    sides = pairs.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    return sides.where(shared >= F.lit(similar) * (F.size("words_a") + F.size("words_b") - shared)).select("a", "b")
 
 
-def near_duplicate_groups(docs: DataFrame, limit: int = MAX_DISTANCE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, limit: int = MAX_DISTANCE, id_column: str = "doc_id", text_column: str = "text", wide: int = WIDE_DISTANCE, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, key, group_id, group_size, keep) of rows in groups of two or more.
 
     `group_id` is the smallest id of the group and `keep` marks its one row
@@ -238,8 +302,14 @@ def near_duplicate_groups(docs: DataFrame, limit: int = MAX_DISTANCE, id_column:
     where rows repeat id and text they share a line here, with `copies` > 1.
     """
     prints = written(fingerprints(docs, id_column, text_column))
-    nodes = written(prints.groupBy("print").agg(F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id()))
-    label = components(fingerprint_links(nodes.select("node", "print"), limit))
+    nodes = written(prints.groupBy("print").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()))
+    links = written(fingerprint_links(nodes.select("node", "print"), limit, wide))
+    doubtful = links.where("not sure").select("a", "b")
+    # One row stands for all of the same fingerprint; texts are read again only
+    # for the few nodes of doubtful pairs.
+    asked = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "key")
+    texts = docs.select(content_key(docs, id_column, text_column).alias("key"), col(text_column).cast("string").alias("text")).join(asked, "key").select("node", "text")
+    label = components(links.where("sure").select("a", "b").union(similar_pairs(doubtful, texts, similar)))
     named = nodes.join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).select("print", "group")
     rows = prints.groupBy("doc_id", "key", "print").agg(F.count("*").alias("copies"))
     grouped = rows.join(named, "print").select("group", F.struct("doc_id", "key").alias("row"), "copies")
