@@ -242,6 +242,14 @@ def test_classifier_odd_rows(spark, odd):
     assert classifier.accepted(odd.limit(0), model).count() == 0
 
 
+def test_labels_without_text_leave_the_sample_whole(spark):
+    docs = spark.createDataFrame([(i, f"text {i}" if i < 10 else None) for i in range(15)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(15)] + [(1000 + i, 1, 0) for i in range(500)], "doc_id bigint, quality int, toxic int")
+    texts, classes = classifier.training_rows(docs, labels, limit=10)
+    assert sorted(zip(texts, classes)) == [(f"text {i}", 2 * (i % 2)) for i in range(10)]
+    assert len(classifier.training_rows(docs, labels, limit=4)[0]) == 4
+
+
 # -- 9: near duplicates -----------------------------------------------------------------------
 
 

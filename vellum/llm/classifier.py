@@ -161,11 +161,13 @@ def train(texts: list[str], labels: list[int], classes: int = len(CLASSES), epoc
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
     """Texts and classes of at most `limit` labelled documents."""
-    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    texts = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").cast("string").alias("text")).where("text is not null")
+    # Labels that no text belongs to must not use up the sample.
+    usable = labels.where("doc_id is not null and (quality is not null or toxic is not null)").join(texts.select("doc_id"), "doc_id", "left_semi")
+    known = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(SEED))
     chosen = known.select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("label")).orderBy(order, "doc_id").limit(limit)
     # At most `limit` rows of two numbers, so broadcasting them is bounded.
-    texts = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").toArrow()
     return rows["text"].to_pylist(), rows["label"].to_pylist()
 
