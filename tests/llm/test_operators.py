@@ -213,6 +213,16 @@ def test_language_accuracy_on_held_out(spark):
     assert out.where("language = lang").count() >= 0.97 * out.count()
 
 
+def test_long_document_leaves_room_for_others(spark):
+    short = [f"short{chr(97 + i)} text of this tongue" for i in range(20)]
+    docs = frame(spark, ["over and over again " * 5000, "once more then " * 5000, *short])
+    text = langid.training_text(docs)["en"].decode()
+    assert len(text.encode()) <= langid.TRAIN_CHARS and all(t in text for t in short)
+    assert text.count("over and over") > 500 and text.count("once more") > 500
+    parts = langid.shared_out(["é".encode() * 50, b"b" * 10, b"c" * 100], 73).decode().split(" ")[1:]
+    assert parts == ["é" * 15, "b" * 10, "c" * 30]
+
+
 def test_language_odd_rows(spark, odd):
     out = langid.identify(odd, langid.training_text(odd))
     assert out.count() == odd.count() and out.where("language is null").count() == 5

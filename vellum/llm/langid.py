@@ -12,8 +12,8 @@ holds the state after the new phrase's first character, so every character is
 one table look-up, made for a thousand documents and all languages at once.
 
 Training text is a bounded sample: `TRAIN_DOCS` documents per language by hash,
-of which the first `TRAIN_CHARS` bytes together are used.  Whole texts of all
-documents are classified.
+which share `TRAIN_CHARS` bytes equally; what short ones leave goes to the
+others.  Whole texts of all documents are classified.
 
 Defined results: text without letters has a null language; ties go to the
 alphabetically first language; null labels train nothing; without any labelled
@@ -143,6 +143,19 @@ def _parser(texts: dict[str, bytes]) -> Parser:
     return _PARSERS[key]
 
 
+def shared_out(texts: list[bytes], most: int) -> bytes:
+    """The texts' beginnings, at most `most` bytes with a space before each.
+
+    All are cut to one length, but for those that are shorter.
+    """
+    part, left = {}, most - len(texts)
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        # Cut between characters.
+        part[i] = texts[i][: max(left, 0) // (len(texts) - done)].decode(errors="ignore").encode()
+        left -= len(part[i])
+    return b"".join(b" " + part[i] for i in range(len(texts)))[:most]
+
+
 def training_text(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, bytes]:
     """A bounded sample of labelled text for each language."""
     key = content_key(docs)
@@ -153,10 +166,10 @@ def training_text(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: i
     # A bounded number of keys for each language, so broadcasting is safe.
     texts = docs.select(col("text").cast("string").alias("text"), key.alias("key")).join(F.broadcast(chosen), "key")
     rows = texts.select("lang", "key", F.lower(F.substring("text", 1, chars)).alias("text")).distinct().orderBy("lang", order, "key").toArrow().to_pylist()
-    out: dict[str, bytes] = {}
+    sample: dict[str, list[bytes]] = {}
     for r in rows:
-        have = out.get(r["lang"], b"")
-        out[r["lang"]] = (have + b" " + (r["text"] or "").encode())[:chars]
+        sample.setdefault(r["lang"], []).append((r["text"] or "").encode())
+    out = {k: shared_out(v, chars) for k, v in sample.items()}
     return {k: v for k, v in out.items() if normal(np.frombuffer(v, np.uint8)).tobytes().strip()}
 
 
