@@ -108,6 +108,16 @@ def test_decontamination_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(60)) - {d for _, d in found}
 
 
+def test_decontamination_reports_every_place(spark):
+    rng = random.Random(12)
+    item, fill = words(rng, 20), [f"f{i}" for i in range(90)]
+    near = ["changed" if i in (4, 11) else w for i, w in enumerate(item)]
+    texts = [fill[:10] + item + fill[10:30] + near + fill[30:40] + item, item + item, near, fill[:3] + ["one"] + fill[3:5] + ["one"], ["a", "a", "a", "a", "a"]]
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, "one"), (2, "a a")], "item_id bigint, text string")
+    found = sorted((r.item_id, r.doc_id, r.position, r.kind) for r in decontaminate.matches(frame(spark, [" ".join(t) for t in texts]), benchmark).collect())
+    assert found == [(0, 0, 10, "exact"), (0, 0, 50 - decontaminate.SLOP, "proximity"), (0, 0, 80, "exact"), (0, 1, 0, "exact"), (0, 1, 20, "exact"), (0, 2, 0, "proximity"), (1, 3, 3, "exact"), (1, 3, 6, "exact"), (2, 4, 0, "exact"), (2, 4, 2, "exact")]
+
+
 def test_decontamination_odd_rows(spark, odd):
     benchmark = spark.createDataFrame([(1, "no id"), (1, "no id"), (None, None)], "item_id bigint, text string")
     out = decontaminate.decontaminated(odd, benchmark)

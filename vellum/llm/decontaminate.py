@@ -17,13 +17,15 @@ terms: an item that may miss m of its terms must show one of its m + 1 rarest.
 Items are compared by hashed terms (40 bits each).  Items of fewer than
 `MIN_TERMS` terms match only exactly, as a share of so few says little.
 
-Defined results: items and documents without words never match; of repeated
-rows or items each (item_id, doc_id) pair is reported once per distinct text;
-null ids are reported as null.
+Defined results: items and documents without words never match; every place of
+an item in a document is reported that doesn't overlap a better one, exact ones
+first, then those with more terms, then earlier ones; of repeated rows or items
+each place is reported once per distinct text; null ids are reported as null.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,8 +102,24 @@ class Items:
         self.vocabulary, self.number = np.unique(self.term, return_inverse=True)
 
 
+def _apart(place: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Which of each row's places, best first, overlap none taken before."""
+    if n == 1:
+        return np.ones(len(place), dtype=bool)
+    out = np.zeros(len(place), dtype=bool)
+    taken: list[int] = []
+    for i, (p, r) in enumerate(zip(place.tolist(), row.tolist())):
+        if i and r != row[i - 1]:
+            taken = []
+        j = bisect.bisect(taken, p)
+        if (j == 0 or p - taken[j - 1] >= n) and (j == len(taken) or taken[j] - p >= n):
+            taken.insert(j, p)
+            out[i] = True
+    return out
+
+
 def match_segment(items: Items, first: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray, slop: int = SLOP) -> list[tuple[int, int, bool, int, int]]:
-    """(item, row, exact, position, matched terms) of the best place of each pair."""
+    """(item, row, exact, position, matched terms) of each pair's places that don't overlap."""
     if not len(items.vocabulary) or not len(terms):
         return []
     at = np.minimum(np.searchsorted(terms, items.vocabulary), len(terms) - 1)
@@ -138,7 +156,7 @@ def match_segment(items: Items, first: np.ndarray, terms: np.ndarray, counts: np
                 place, row, near, exactly = place[go_on], row[go_on], near[go_on], exactly[go_on]
         whole = exactly == n
         order = np.lexsort((place, -near, ~whole, row))
-        heads = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(order) else order
+        heads = order[_apart(place[order], row[order], n)]
         out += [(int(k), int(row[h]), bool(whole[h]), int(max(place[h] - first[row[h]], 0)), int(near[h])) for h in heads]
     return out
 
