@@ -6,18 +6,30 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SETTING = "spark.checkpoint.dir"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the session names, or a temporary one.
+    """The folder that all executors share, as the session names it.
 
-    A cluster names its shared folder in spark.checkpoint.dir; only where none
-    is named, as in tests, is one made and set.
+    That is `spark.checkpoint.dir`, or else the context's checkpoint folder.
+    Where neither is set, a temporary folder is made and set, but only if the
+    master is local: executors of a cluster don't share one machine's folders,
+    so there it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get(_SETTING, None)
+    known = context._jsc.sc().getCheckpointDir()
+    if not folder and known.isDefined():
+        # The context adds a folder of its own below the one it was given.
+        folder = known.get()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="vellum-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set(_SETTING, folder)
+    if known.isEmpty():
+        context.setCheckpointDir(folder)
     return folder
 
 
