@@ -16,7 +16,11 @@ row per round reaches the driver, so there may be millions of sources.
 
 Defined results: null is a source like others; sources without characters or
 weight, and null weights, give nothing; negative weights raise ValueError;
-rows that repeat an id share its draw; a null id draws like the text 'null'.
+rows that repeat an id share its draw; a null id draws like the text 'null';
+very long texts count with all their characters; an empty table has no sources;
+other columns, whatever their names, pass through.  Ties: a draw equal to the
+fraction gives no further repetition, and a source that reaches its cap exactly
+is not clamped, which makes no difference to the shares.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import col, fresh, written
+from vellum.llm.shared import col, fresh, settled, written
 
 #: Most passes over a source, and the mix's size in passes over the corpus.
 MAX_EPOCHS, CORPUS_EPOCHS = 4, 1
@@ -51,6 +55,10 @@ def with_weights(sizes: DataFrame, weights: DataFrame) -> DataFrame:
 
 def epochs(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
     """(source, size, weight, epochs) by capped water-filling."""
+    return settled(sizes.sparkSession, lambda: _filled(sizes, max_epochs, budget))
+
+
+def _filled(sizes: DataFrame, max_epochs: int, budget: int | None) -> DataFrame:
     s = written(sizes.select("source", "size", "weight", (F.col("size") * max_epochs).alias("cap")))
     live = s.where("size > 0 and weight > 0")
     if budget is None:

@@ -8,7 +8,10 @@ treated alike.  A document is kept while every share stays within its limit.
 Work is done in numpy on slices of Arrow buffers, in one pass without shuffle.
 
 Defined results: null or empty text has no characters and is kept; documents of
-fewer than n words have no n-grams; repeated rows are each measured alone.
+fewer than n words have no n-grams; repeated rows are each measured alone; very
+long texts are measured whole; ids keep their type and may be null; an empty table
+gives no rows; only id and text are read, whatever other columns are called.
+Ties: a share equal to its limit is within it.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from vellum.llm.shared import col
+from vellum.llm.shared import col, id_type
 from vellum.llm.textkit import _WORD, U64, gram_hashes, mix64, slices, span_hashes, spans_of, text_buffers
 
 #: Largest share of characters in repeated n-grams, by n, and in repeated lines.
 LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.30
-_SCHEMA = "doc_id bigint, chars bigint, " + "".join(f"repeated_{n} bigint, " for n in LIMITS) + "line_chars bigint, repeated_lines bigint, keep boolean"
+_SCHEMA = "chars bigint, " + "".join(f"repeated_{n} bigint, " for n in LIMITS) + "line_chars bigint, repeated_lines bigint, keep boolean"
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 11, 12, 13, 32]] = True
 
@@ -86,7 +89,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repetition(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Measures and verdict for every row."""
-    return docs.select(col(id_column).cast("bigint").alias("doc_id"), col(text_column).cast("string").alias("text")).mapInArrow(_batches, _SCHEMA)
+    return docs.select(col(id_column).alias("doc_id"), col(text_column).cast("string").alias("text")).mapInArrow(_batches, f"doc_id {id_type(docs, id_column)}, {_SCHEMA}")
 
 
 def _sql() -> str:

@@ -14,7 +14,10 @@ Expressions use ASCII classes.  Secrets are reported by place, length and MD5,
 never in clear.
 
 Defined results: null and empty texts hold nothing; repeated rows are each
-reported; matches of one rule don't overlap, those of several rules may.
+reported; very long texts are a segment of their own and scanned whole; ids keep
+their type and may be null; an empty table holds nothing; only id and text are
+read, whatever other columns are called.  Ties: of matches of one rule that
+overlap the first one is reported, those of several rules may overlap.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.shared import col
+from vellum.llm.shared import col, id_type
 from vellum.llm.textkit import slices, text_buffers
 
 try:
@@ -41,13 +44,13 @@ except ImportError:  # Python before 3.11
 RULES: dict[str, str] = {
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36}\b",
-    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,72}",
+    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH |)PRIVATE KEY-----",
     "json_web_token": r"\beyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}",
-    "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{24,99}",
-    "assigned_secret": r"(?i)\b(?:token|secret|passwd|password|api_?key)\s{0,3}[:=]\s{0,3}['\"][^\s'\"]{8,128}['\"]",
-    "url_credentials": r"[a-z]{3,10}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@",
+    "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{24,}",
+    "assigned_secret": r"(?i)\b(?:token|secret|passwd|password|api_?key)\s{0,3}[:=]\s{0,3}['\"][^\s'\"]{8,}['\"]",
+    "url_credentials": r"[a-z]{3,10}://[^\s:/@]+:[^\s:/@]+@",
     "payment_card": r"\b(?:4[0-9]{15}|5[1-5][0-9]{14})\b",
     "hex_key": r"\b[0-9a-f]{40}\b",
 }
@@ -227,8 +230,8 @@ def scanner(rules: dict[str, str]):
 
 def secrets(docs: DataFrame, rules: dict[str, str] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, rule, occurrence, start, length, secret_md5) of every match."""
-    source = docs.select(col(id_column).cast("bigint").alias("doc_id"), col(text_column).cast("string").alias("text"))
-    return source.mapInArrow(scanner(dict(rules)), "doc_id bigint, rule string, occurrence bigint, start bigint, length bigint, secret_md5 string")
+    source = docs.select(col(id_column).alias("doc_id"), col(text_column).cast("string").alias("text"))
+    return source.mapInArrow(scanner(dict(rules)), f"doc_id {id_type(docs, id_column)}, rule string, occurrence bigint, start bigint, length bigint, secret_md5 string")
 
 
 def _sql() -> str:

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.
-
-    Only where the session names none, as in tests, is a temporary folder made
-    and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vellum-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+#: Folders that the innermost open block has written.
+_OPEN: ContextVar[list[str] | None] = ContextVar("_OPEN", default=None)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -31,16 +24,43 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/vellum-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (mine := _OPEN.get()) is not None:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Delete tables made by `written` once nothing reads them any more."""
     for df in tables:
-        spark = df.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def _scratch(spark: SparkSession) -> Iterator[None]:
+    token = _OPEN.set([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.get():
+            _delete(spark, path)
+        _OPEN.reset(token)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make()` gives, written once; tables that it wrote on the way are deleted."""
+    path = f"{shared_folder(spark).rstrip('/')}/vellum-{uuid.uuid4().hex}"
+    with _scratch(spark):
+        out = make()
+        out.write.parquet(path)
+    if (mine := _OPEN.get()) is not None:
+        mine.append(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +80,20 @@ def col(name: str):
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def content_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"):
-    """64-bit key of a row's id and text; equal rows have equal keys."""
-    return F.xxhash64(col(id_column), col(text_column), F.length(col(text_column)))
+def id_type(df: DataFrame, id_column: str) -> str:
+    """The type of the id column, which results keep."""
+    return df.schema[id_column].dataType.simpleString()
+
+
+def key_of(columns: list[str]) -> Column:
+    """128-bit key of some columns of a row; null has a key of its own, unlike any text's."""
+    parts = []
+    for name in columns:
+        text = col(name).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def content_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """128-bit key of a row's id and text; equal rows have equal keys."""
+    return key_of([id_column, text_column])

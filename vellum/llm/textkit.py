@@ -176,12 +176,6 @@ def token_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[i
         yield a, b, tokenize(raw, offsets[a : b + 1])
 
 
-def hash_word(word: str) -> int:
-    """Hash of one token, equal to what `tokenize` gives it."""
-    raw = np.frombuffer(word.lower().encode(), dtype=np.uint8)
-    return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
-
-
 def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """Rolling hash of every n consecutive values (n-1 fewer than values)."""
     if len(tokens) < n:
