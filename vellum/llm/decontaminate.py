@@ -18,9 +18,12 @@ Items are compared by hashed terms (40 bits each).  Items of fewer than
 `MIN_TERMS` terms match only exactly, as a share of so few says little.
 
 Defined results: items and documents without words never match; every place of
-an item in a document is reported that doesn't overlap a better one, exact ones
-first, then those with more terms, then earlier ones; of repeated rows or items
-each place is reported once per distinct text; null ids are reported as null.
+an item in a document is reported that doesn't overlap a better one; of repeated
+rows or items each place is reported once per distinct text; null ids are
+reported as null and ids keep their type; a very long text is one row of an index
+segment of its own size; an empty corpus or benchmark has no match; other
+columns, whatever their names, pass through.  Ties: of places that overlap exact
+ones come first, then those with more terms, then earlier ones.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import col, content_key, fresh, written
+from vellum.llm.shared import col, content_key, fresh, id_type, settled, written
 from vellum.llm.textkit import U64, tidy, token_slices
 
 #: Least share of an item's terms for a proximity match, and words of slack.
@@ -42,7 +45,6 @@ MIN_TERMS = 5
 SEGMENT_BYTES = 2 << 20
 #: Benchmark items are sent to executors in groups of about this many characters.
 GROUP_CHARS = 16 << 20
-_INDEX = "ids array<bigint>, keys array<bigint>, first binary, terms binary, counts binary, postings binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -57,6 +59,10 @@ def _unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype)
 
 
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 @tidy
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -70,8 +76,8 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             counts = np.diff(np.append(new, len(ordered))).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([batch.column(1).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
+                    _one_list(batch.column(0).slice(a, b - a)),
+                    _one_list(batch.column(1).slice(a, b - a)),
                     pa.array([_pack(t.first.astype(np.uint32))]),
                     pa.array([_pack(ordered[new])]),
                     pa.array([_pack(counts)]),
@@ -83,14 +89,15 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The positional index of a document table, written to the shared folder."""
-    source = docs.select(col(id_column).cast("bigint").alias("id"), content_key(docs, id_column, text_column).alias("key"), col(text_column).cast("string").alias("text"))
-    return written(source.mapInArrow(_segment_batches, _INDEX))
+    source = docs.select(col(id_column).alias("id"), content_key(docs, id_column, text_column).alias("key"), col(text_column).cast("string").alias("text"))
+    schema = f"ids array<{id_type(docs, id_column)}>, keys array<binary>, first binary, terms binary, counts binary, postings binary"
+    return written(source.mapInArrow(_segment_batches, schema))
 
 
 class Items:
     """Benchmark items as flat arrays of terms."""
 
-    def __init__(self, ids: list, texts: list[str]) -> None:
+    def __init__(self, ids: pa.Array, texts: list[str]) -> None:
         parts = [(a, t) for a, _, t in token_slices(pa.array(texts, pa.string()))]
         self.ids = ids
         self.term = np.concatenate([t.hash for _, t in parts]) >> U64(24) if parts else np.zeros(0, U64)
@@ -161,8 +168,8 @@ def match_segment(items: Items, first: np.ndarray, terms: np.ndarray, counts: np
     return out
 
 
-def _search_group(index: DataFrame, ids: list, texts: list[str]) -> DataFrame:
-    held = index.sparkSession.sparkContext.broadcast((ids, texts))
+def _search_group(index: DataFrame, ids: pa.Array, texts: list[str], item_type: str) -> DataFrame:
+    held, doc_type = index.sparkSession.sparkContext.broadcast((ids, texts)), index.schema["ids"].dataType.elementType.simpleString()
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +182,7 @@ def _search_group(index: DataFrame, ids: list, texts: list[str]) -> DataFrame:
                     item, row, exact, position, matched = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([items.ids[k] for k in item], pa.int64()),
+                            items.ids.take(pa.array(item)),
                             batch.column(0)[i].values.take(pa.array(row)),
                             batch.column(1)[i].values.take(pa.array(row)),
                             pa.array(["exact" if e else "proximity" for e in exact]),
@@ -186,7 +193,7 @@ def _search_group(index: DataFrame, ids: list, texts: list[str]) -> DataFrame:
                         ["item_id", "doc_id", "key", "kind", "position", "matched", "terms"],
                     )
 
-    return index.mapInArrow(run, "item_id bigint, doc_id bigint, key bigint, kind string, position bigint, matched bigint, terms bigint")
+    return index.mapInArrow(run, f"item_id {item_type}, doc_id {doc_type}, key binary, kind string, position bigint, matched bigint, terms bigint")
 
 
 def search(index: DataFrame, benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
@@ -195,25 +202,25 @@ def search(index: DataFrame, benchmark: DataFrame, id_column: str = "item_id", t
     The items go to the executors in groups of at most about GROUP_CHARS, one
     pass over the index each, so what is sent at once doesn't grow.
     """
-    items = benchmark.select(col(id_column).cast("bigint").alias("id"), F.coalesce(col(text_column).cast("string"), F.lit("")).alias("text")).distinct()
+    items = benchmark.select(col(id_column).alias("id"), F.coalesce(col(text_column).cast("string"), F.lit("")).alias("text")).distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-chars // GROUP_CHARS))
     out = None
     for g in range(groups):
         rows = items.where(F.pmod(F.xxhash64("text", "id"), F.lit(groups)) == g).orderBy("id", "text").toArrow()
-        part = _search_group(index, rows["id"].to_pylist(), rows["text"].to_pylist())
+        part = _search_group(index, rows["id"].combine_chunks(), rows["text"].to_pylist(), id_type(benchmark, id_column))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(item_id, doc_id, kind, position, matched, terms, key) of every match."""
-    return search(build_index(docs), benchmark)
+    return settled(docs.sparkSession, lambda: search(build_index(docs), benchmark))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The table without rows that hold a benchmark item, columns unchanged."""
     key = fresh(docs, "row_key")
-    hits = written(search(build_index(docs, id_column, text_column), benchmark).select(F.col("key").alias(key)).distinct())
+    hits = settled(docs.sparkSession, lambda: search(build_index(docs, id_column, text_column), benchmark).select(F.col("key").alias(key)).distinct())
     # Left to the planner: hits are broadcast only while they are known to be small.
     return docs.withColumn(key, content_key(docs, id_column, text_column)).join(hits, key, "left_anti").drop(key)
