@@ -11,25 +11,36 @@ Place p of the shuffled order lies in shard p mod S at slot p div S.  Shard and
 slot of any row number, and the row number at any slot, are computed without
 looking at data.
 
-Only ids are sorted to number the rows.  Rows that repeat an id are numbered by
-a hash of id and text; rows that repeat both are interchangeable.
-
-Defined results: an empty table stays empty; N is at most 2**60.
+Only ids and 128-bit keys are sorted to number the rows.  Rows that repeat are
+counted before anything is shuffled, and take successive numbers, so a row that
+makes up a third of the table is one line of the sort.
+
+Defined results: an empty table stays empty; N is at most 2**60; ids keep their
+type and null ids are numbered first.  Ties: rows that repeat an id are numbered
+by a key of all their columns, so only rows equal in every column, which are
+interchangeable, are told apart by nothing.  Very long texts move as they are;
+columns whose names clash with those added keep theirs, the added ones get an
+underscore.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import col, content_key, fresh, written
+from vellum.llm.shared import col, fresh, id_type, key_of, written
 
 SHARDS, SEED, ROUNDS = 64, 7, 6
+#: Rows that one task writes of a shard; larger shards have several writers.
+TASK_ROWS = 100_000
 _PRIME = (1 << 31) - 1
 
 
@@ -78,57 +89,76 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
     return int(permute(np.array([slot * shards + shard]), n, seed, back=True)[0])
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the partition and the number of rows before each line in it."""
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column(batch.num_columns - 1).to_numpy()
+        start = before + np.cumsum(n) - n
+        before += int(n.sum())
+        added = [pa.array(start, pa.int64()), pa.array(np.full(len(n), part, dtype=np.int64))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "start", "part"])
+
+
 def numbered(keys: DataFrame) -> tuple[DataFrame, int]:
-    """Number the rows of a narrow table by all its columns; the count of rows.
+    """(id, key, first, n) of each distinct (id, key): its first row number and how
+    many rows it has; and the number of all rows.
 
-    One range shuffle; the row counts of its partitions, as few as there are
-    partitions, turn places within partitions into places overall.
+    One range shuffle of distinct lines; the row counts of its partitions, as few as
+    there are partitions, turn places within partitions into places overall.
     """
-    names, at = keys.columns, fresh(keys, "at")
-    ranged = written(keys.repartitionByRange(*[F.col(c).asc_nulls_first() for c in names]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in names]).withColumn(at, F.monotonically_increasing_id()))
-    part = F.shiftright(at, 33)
-    counts = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    order = [F.col(c).asc_nulls_first() for c in ("id", "key")]
+    ranged = keys.groupBy("id", "key").agg(F.count("*").alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines = written(ranged.mapInArrow(_running, f"id {id_type(keys, 'id')}, key binary, n bigint, start bigint, part bigint"))
     total, rows = 0, []
-    for r in counts:
+    for r in lines.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         rows.append((r["part"], total))
         total += r["n"]
-    spark = keys.sparkSession
-    start, row = fresh(keys, "start"), fresh(keys, "row_number")
-    offsets = spark.createDataFrame(pd.DataFrame(rows, columns=["part_", start]).astype("int64"), f"part_ bigint, {start} bigint")
+    offsets = keys.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["part", "offset"]).astype("int64"), "part bigint, offset bigint")
     # One line per partition of the shuffle, so its size is bounded.
-    placed = ranged.join(F.broadcast(offsets), part.cast("bigint") == F.col("part_"))
-    return placed.select(*names, (F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)).alias(row)), total
+    return lines.join(F.broadcast(offsets), "part").select("id", "key", (F.col("start") + F.col("offset")).alias("first"), "n"), total
+
+
+def _each_number() -> Column:
+    return F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
 
 
-def _placed(df: DataFrame, row: str, n: int, shards: int, seed: int, shard: str, slot: str) -> DataFrame:
+def _place(number: Column, n: int, seed: int) -> Column:
     @F.pandas_udf("bigint")
     def place(rows: pd.Series) -> pd.Series:
         return pd.Series(permute(rows.to_numpy(), n, seed))
 
-    return df.withColumn(row, place(row)).withColumn(shard, F.col(row) % shards).withColumn(slot, F.expr(f"`{row}` div {shards}"))
+    return place(number)
 
 
 def assignments(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_column: str = "doc_id") -> DataFrame:
     """(doc_id, row_number, place, shard, slot) of every row; only ids move."""
-    rows, n = numbered(docs.select(col(id_column).cast("bigint").alias("doc_id")))
-    return _placed(rows.withColumn("place", F.col("row_number")), "place", n, shards, seed, "shard", "slot")
+    rows, n = numbered(docs.select(col(id_column).alias("id"), F.lit(b"").alias("key")))
+    placed = rows.select(F.col("id").alias("doc_id"), _each_number().alias("row_number")).withColumn("place", _place(F.col("row_number"), n, seed))
+    return placed.withColumn("shard", F.col("place") % shards).withColumn("slot", F.expr(f"place div {shards}"))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_column: str = "doc_id", task_rows: int = TASK_ROWS) -> DataFrame:
     """The whole rows with shard and slot, laid out by shard in slot order.
 
-    Ids and hashes are numbered on their own; the rows then move twice, to meet
-    their numbers and to reach their shards.  Repeated rows take the successive
-    numbers that their id and text have.
+    Ids and keys are numbered on their own; the rows then move twice, to meet
+    their numbers and to reach their shards.  Rows equal in every column move as
+    one until they are numbered.  Each shard is written by as many tasks, one
+    after the other in slot order, as its size asks for.
     """
-    known, key, first, again, place = (fresh(docs, s) for s in ("row_id", "row_key", "first_number", "again", "place"))
-    shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
-    keyed = docs.withColumn(known, F.coalesce(col(id_column).cast("bigint"), F.lit(-(1 << 63)))).withColumn(key, content_key(docs, id_column, text_column))
-    rows, n = numbered(written(keyed.select(known, key)))
-    firsts = rows.groupBy(known, key).agg(F.min("row_number").alias(first))
-    met = keyed.join(firsts, [known, key]).withColumn(again, F.row_number().over(Window.partitionBy(known, key).orderBy(key)) - 1)
-    placed = _placed(met.withColumn(place, F.col(first) + F.col(again)), place, n, shards, seed, shard, slot)
-    return placed.select(*[col(c) for c in docs.columns], shard, slot).repartition(F.col(shard)).sortWithinPartitions(shard, slot)
+    shard, slot, names = fresh(docs, "shard"), fresh(docs, "slot"), [f"c{i}" for i in range(len(docs.columns))]
+    # By place, as names may clash or hold dots.
+    plain = docs.toDF(*names).withColumn("key", key_of(names)).withColumn("id", F.col(names[docs.columns.index(id_column)]))
+    rows, n = numbered(plain.select("id", "key"))
+    whole = plain.groupBy("key").agg(F.first(F.struct(*names)).alias("row"))
+    met = whole.join(rows.select("key", "first", "n"), "key").select("row.*", _each_number().alias("number"))
+    place = met.withColumn("place", _place(F.col("number"), n, seed)).withColumn("shard", F.col("place") % shards).withColumn("slot", F.expr(f"place div {shards}"))
+    slots = max(-(-n // shards), 1)
+    # At least as many tasks as other shuffles have.
+    writers = max(-(-slots // task_rows), -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    writer = (F.col("shard") * writers + F.floor(F.col("slot") * writers / slots)).cast("int")
+    laid = place.repartitionById(shards * writers, writer).sortWithinPartitions("shard", "slot")
+    return laid.select(*names, "shard", "slot").toDF(*docs.columns, shard, slot)
 
 
 def _sql() -> str:
