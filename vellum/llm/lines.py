@@ -9,28 +9,28 @@ threshold are taken out of every document.
 A line is compared lower-cased and without outer spaces; lines shorter than
 `MIN_CHARS` are never removed, as short lines recur by chance.
 
+Lines to be removed meet the documents' lines in an equi-join of 64-bit hashes,
+and documents get their list of places in another.  Whether either is done by
+broadcast is left to the planner, which knows the sizes when it decides.
+
 Defined results: null text stays null and empty text empty; a null site counts
 as no site; a document of nothing but boilerplate becomes empty text; every row
-stays, repeated rows each on their own.
+stays, repeated rows each on their own; very long texts are treated line by line
+in linear time; an empty table stays empty; other columns, whatever their names,
+pass through.  Ties: a line on exactly `sites` sites is removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import col, fresh, written
+from vellum.llm.shared import col, fresh, key_of, settled, written
 
 #: Sites from which on a line is boilerplate, and the shortest line removed.
 SITES, MIN_CHARS = 10, 12
 #: 2**12 registers: a standard error of 1.6 percent; the band is four of them.
 SKETCH_BITS, BAND = 12, 0.065
-#: Lines to remove are broadcast up to this many, else joined by a shuffle.
-BROADCAST_LINES = 4_000_000
 
 
 def line_array(text: Column) -> Column:
@@ -46,6 +46,10 @@ def boilerplate(docs: DataFrame, sites: int = SITES, site_column: str = "source"
 
     `sites` is exact near the threshold and the sketch's estimate above it.
     """
+    return settled(docs.sparkSession, lambda: _spread(docs, sites, site_column, text_column))
+
+
+def _spread(docs: DataFrame, sites: int, site_column: str, text_column: str) -> DataFrame:
     line = F.explode(line_array(col(text_column).cast("string")))
     lines = docs.where(col(site_column).isNotNull()).select(col(site_column).cast("string").alias("site"), line.alias("text"))
     lines = lines.where(F.length(F.trim("text")) >= MIN_CHARS).select(line_key(F.col("text")).alias("line"), F.xxhash64("site").alias("site"))
@@ -59,48 +63,26 @@ def boilerplate(docs: DataFrame, sites: int = SITES, site_column: str = "source"
     return spread.where(~close).select("line", F.col("estimate").alias("sites")).unionByName(exact)
 
 
-def _masked(docs: DataFrame, text: Column, gone: DataFrame, mask: str) -> DataFrame:
-    """Add an array that tells for each line whether it is to be removed."""
-    hashes = F.transform(line_array(text), line_key)
-    if gone.count() <= BROADCAST_LINES:
-        held = docs.sparkSession.sparkContext.broadcast(np.sort(gone.select("line").toArrow()["line"].to_numpy()))
-
-        @F.pandas_udf("array<boolean>")
-        def known(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for part in rows:
-                there = [r if r is not None else np.zeros(0, np.int64) for r in part]
-                flat = np.concatenate(there) if there else np.zeros(0, np.int64)
-                at = np.minimum(np.searchsorted(held.value, flat), max(len(held.value) - 1, 0))
-                hit = held.value[at] == flat if len(held.value) else np.zeros(len(flat), bool)
-                yield pd.Series(np.split(hit, np.cumsum([len(r) for r in there])[:-1])) if there else pd.Series([], dtype=object)
-
-        return docs.withColumn(mask, known(hashes))
-    # What goes from a text depends on the text alone, so its hashes stand for it.
-    key, other, line = (fresh(docs, s) for s in ("text_key", "text_key2", "line"))
-    keyed = docs.withColumn(key, F.xxhash64(text)).withColumn(other, F.hash(text, F.length(text)))
-    places = keyed.select(key, other, F.posexplode(hashes).alias("at", line)).distinct().join(gone.select(F.col("line").alias(line)), line, "left_semi")
-    removed, at = places.groupBy(key, other).agg(F.collect_set("at").alias(mask)), fresh(docs, "removed_at")
-    joined = keyed.join(removed.withColumnRenamed(mask, at), [key, other], "left")
-    flags = F.transform(line_array(text), lambda x, i: F.coalesce(F.array_contains(col(at), i), F.lit(False)))
-    return joined.withColumn(mask, flags).drop(key, other, at)
-
-
 def without_boilerplate(docs: DataFrame, sites: int = SITES, site_column: str = "source", text_column: str = "text", removed_column: str | None = None) -> DataFrame:
     """The table with lines on `sites` sites or more taken out of its texts.
 
     `removed_column` names a column to be added, with the number of lines taken.
     """
-    gone = written(boilerplate(docs, sites, site_column, text_column).select("line").distinct())
-    mask, text = fresh(docs, "gone"), col(text_column)
-    masked = _masked(docs, text, gone, mask)
-    drop = F.transform(line_array(text), lambda x, i: F.element_at(col(mask), i + 1) & (F.length(F.trim(x)) >= MIN_CHARS))
-    masked = masked.withColumn(mask, drop)
-    kept = F.filter(line_array(text), lambda x, i: ~F.element_at(col(mask), i + 1))
-    count = F.size(F.filter(F.coalesce(col(mask), F.array().cast("array<boolean>")), lambda x: x))
-    out = masked.withColumn(text_column, F.when(text.isNotNull(), F.array_join(kept, "\n")))
+    gone = boilerplate(docs, sites, site_column, text_column).select("line")
+    key, at, lines = fresh(docs, "text_key"), fresh(docs, "removed_at"), fresh(docs, "text_lines")
+    # What goes from a text depends on the text alone, so its key stands for it.
+    keyed = docs.withColumn(key, key_of([text_column])).withColumn(lines, line_array(col(text_column).cast("string")))
+    each = keyed.select(col(key).alias("key"), F.posexplode(col(lines)).alias("at", "text")).where(F.length(F.trim("text")) >= MIN_CHARS)
+    places = each.select("key", "at", line_key(F.col("text")).alias("line")).join(gone, "line", "left_semi")
+    removed = places.groupBy("key").agg(F.collect_set("at").alias(at)).withColumnRenamed("key", key)
+    # The text goes on as its lines, so that they are cut once and not for each place.
+    joined = keyed.drop(text_column).join(removed, key, "left")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(col(lines)) - 1), col(at))
+    kept = F.when(col(at).isNull(), col(lines)).otherwise(F.transform(stays, lambda i: F.get(col(lines), i)))
+    out = joined.withColumn(text_column, F.array_join(kept, "\n", ""))
     if removed_column:
-        out = out.withColumn(removed_column, count.cast("bigint"))
-    return out.drop(mask)
+        out = out.withColumn(removed_column, F.coalesce(F.size(col(at)), F.lit(0)).cast("bigint"))
+    return out.select(*[col(c) for c in docs.columns], *([col(removed_column)] if removed_column else []))
 
 
 LINE_SQL = f"""
