@@ -59,6 +59,9 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+SQL["op5_repeated_passages"] = suffixes.PASSAGE_SQL
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret that a rule finds in a document."""
