@@ -9,15 +9,22 @@ language with the fewest wins.
 
 Matching goes through one table of all automata in which a failed step already
 holds the state after the new phrase's first character, so every character is
-one table look-up, made for a thousand documents and all languages at once.
-
-Training text is a bounded sample: `TRAIN_DOCS` documents per language by hash,
-which share `TRAIN_CHARS` bytes equally; what short ones leave goes to the
-others.  Whole texts of all documents are classified.
-
-Defined results: text without letters has a null language; ties go to the
-alphabetically first language; null labels train nothing; without any labelled
-text every language is null.
+one table look-up, made for a thousand documents and all languages at once.  A
+long text is parsed in pieces at once: each piece begins as if a phrase did, and
+goes on into the next one until both are in the same state, from where on they
+are the same parse; what a piece did before that is not counted.  Should two
+pieces not meet, the text is parsed in one go, so the phrases are always those
+of the whole text.
+
+Training text is a bounded sample of whole texts: of each language `TRAIN_DOCS`
+documents by hash, and of these, shortest first, as many as fit into `TRAIN_CHARS`
+bytes, at least one.  Whole texts of all documents are classified.
+
+Defined results: text without letters has a null language; null labels train
+nothing; without any labelled text every language is null; repeated rows are each
+classified; ids keep their type and may be null; an empty table gives no rows;
+only id, text and, for training, lang are read, whatever other columns are called.
+Ties go to the alphabetically first language.
 """
 
 from __future__ import annotations
@@ -30,12 +37,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import col, content_key
-from vellum.llm.textkit import text_buffers
+from vellum.llm.shared import col, content_key, id_type
+from vellum.llm.textkit import release_memory, slices, text_buffers, tidy
 
-TRAIN_DOCS, TRAIN_CHARS = 60, 40_000
+TRAIN_DOCS, TRAIN_CHARS = 120, 48_000
 SEED = 11
 LANES = 2048
+#: Bytes of a piece of a long text, and how far it goes on into the next one.
+PIECE, OVERLAP = 4096, 256
+#: Bytes of text worked on at once.
+SLICE = 4 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -89,12 +100,12 @@ class Parser:
         texts = {k: normal(np.frombuffer(texts[k], dtype=np.uint8)).tobytes() for k in self.languages}
         known = sorted(set(b"".join(texts.values())))
         self.width = len(known) + 1
-        self.symbol = np.zeros(256, dtype=np.int32)
+        self.symbol = np.zeros(256, dtype=np.uint8)
         self.symbol[known] = np.arange(1, len(known) + 1)
         tables, self.roots, base = [], [], 0
         for name in self.languages:
             steps = suffix_automaton(texts[name])
-            table = np.full((len(steps), self.width), -1, dtype=np.int64)
+            table = np.full((len(steps), self.width), -1, dtype=np.int32)
             for s, d in enumerate(steps):
                 if d:
                     table[s, self.symbol[list(d)]] = list(d.values())
@@ -102,31 +113,94 @@ class Parser:
             # a symbol that the text doesn't have is a phrase of its own.
             begin = np.where(table[0] < 0, 1 << 28, table[0] + base)
             begin[table[0] < 0] += base
-            full = np.where(table < 0, begin + ((np.arange(len(steps)) > 0).astype(np.int64) << 28)[:, None], table + base)
-            tables.append(full.astype(np.int32))
+            ends = (np.arange(len(steps)) > 0).astype(np.int32) << 28
+            tables.append(np.where(table < 0, begin.astype(np.int32) + ends[:, None], table + np.int32(base)))
             self.roots.append(base)
             base += len(steps)
+            del steps
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.cost = np.log2([max(len(texts[k]), 2) for k in self.languages])
 
+    def _walk(self, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, overlap: int = 0) -> tuple[np.ndarray, ...]:
+        """States and phrase ends after each stretch of symbols, longest stretch first.
+
+        With `overlap`, also those after each of the first steps and of the steps
+        from PIECE on, as [step, stretch, language].
+        """
+        roots = np.array(self.roots, dtype=np.int32)
+        state = np.tile(roots, (len(begin), 1))
+        count = np.zeros(state.shape, dtype=np.int32)
+        seen = [np.zeros((overlap, *state.shape), dtype=np.int32) for _ in range(4)] if overlap else []
+        # Stretches are in order of length, so those still active are the first ones.
+        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right") if len(begin) else []
+        for t, m in enumerate(active):
+            step = self.table[state[:m] * self.width + symbols[begin[:m] + t][:, None]]
+            count[:m] += step >> 28
+            state[:m] = step & 0xFFFFFFF
+            if t < overlap:
+                seen[0][t], seen[1][t] = state, count
+            elif PIECE <= t < PIECE + overlap:
+                seen[2][t - PIECE], seen[3][t - PIECE] = state, count
+        return (state, count, *seen)
+
+    def _slowly(self, symbols: np.ndarray, state: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """What `_walk` gives for one stretch and language, character by character; last steps' too."""
+        table, width, count = memoryview(self.table), self.width, 0
+        states, counts = [], []
+        for symbol in symbols.tolist():
+            step = table[state * width + symbol]
+            state = step & 0xFFFFFFF
+            count += step >> 28
+            states.append(state)
+            counts.append(count)
+        return state, count, np.array(states[-OVERLAP:]), np.array(counts[-OVERLAP:])
+
+    def _long(self, symbols: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Phrases of one long text, in pieces that are parsed at once."""
+        n, some = (end - begin) // PIECE, LANES // 4
+        total = np.zeros(len(self.roots), dtype=np.int64)
+        # Phrase ends that a piece counted before it was in step, or the state in
+        # which the piece before it ended without getting in step.
+        skip, apart = [0] * len(self.roots), [-1] * len(self.roots)
+        for g in range(0, n, some):
+            # The last piece may be there only for its beginning.
+            piece = np.arange(g, min(g + some + 1, n))
+            start = begin + piece * PIECE
+            stop = np.where(piece == n - 1, end, start + PIECE + OVERLAP)
+            order = np.argsort(start - stop, kind="stable")
+            state, count, heads, head_counts, tails, tail_counts = self._walk(symbols, start[order], (stop - start)[order], OVERLAP)
+            at = np.argsort(order)
+            for i in range(min(some, n - g)):
+                for k, root in enumerate(self.roots):
+                    if apart[k] < 0:
+                        ended, ends, states, counts = state[at[i], k], count[at[i], k] - skip[k], tails[:, at[i], k], tail_counts[:, at[i], k] - skip[k]
+                    else:
+                        ended, ends, states, counts = self._slowly(symbols[start[i] + OVERLAP : stop[i]], apart[k])
+                    if g + i == n - 1:
+                        total[k] += ends + (ended != root)
+                        continue
+                    same = np.flatnonzero(states == heads[:, at[i + 1], k])
+                    if len(same):
+                        total[k] += counts[same[0]]
+                        skip[k], apart[k] = int(head_counts[same[0], at[i + 1], k]), -1
+                    else:
+                        total[k] += ends
+                        apart[k] = int(ended)
+        return total
+
     def phrases(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(rows, languages) phrases that each row's bytes take."""
         n, roots = len(offsets) - 1, np.array(self.roots, dtype=np.int32)
         symbols = self.symbol[normal(raw)]
         size = np.diff(offsets)
         out = np.zeros((n, len(roots)), dtype=np.int64)
-        longest = np.argsort(-size, kind="stable")
-        for g in range(0, n, LANES):
+        for r in np.flatnonzero(size >= 2 * PIECE):
+            out[r] = self._long(symbols, int(offsets[r]), int(offsets[r + 1]))
+        short = np.flatnonzero(size < 2 * PIECE)
+        longest = short[np.argsort(-size[short], kind="stable")]
+        for g in range(0, len(longest), LANES):
             rows = longest[g : g + LANES]
-            length, begin = size[rows], offsets[rows]
-            state = np.tile(roots, (len(rows), 1))
-            count = np.zeros(state.shape, dtype=np.int32)
-            # Rows are in order of length, so those still active are the first ones.
-            active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right") if len(rows) else []
-            for t, m in enumerate(active):
-                step = self.table[state[:m] * self.width + symbols[begin[:m] + t][:, None]]
-                count[:m] += step >> 28
-                state[:m] = step & 0xFFFFFFF
+            state, count = self._walk(symbols, offsets[rows], size[rows])
             out[rows] = count + (state != roots)
         return out
 
@@ -140,57 +214,61 @@ def _parser(texts: dict[str, bytes]) -> Parser:
     if key not in _PARSERS:
         _PARSERS.clear()
         _PARSERS[key] = Parser(texts)
+        release_memory()
     return _PARSERS[key]
 
 
-def shared_out(texts: list[bytes], most: int) -> bytes:
-    """The texts' beginnings, at most `most` bytes with a space before each.
-
-    All are cut to one length, but for those that are shorter.
-    """
-    part, left = {}, most - len(texts)
-    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
-        # Cut between characters.
-        part[i] = texts[i][: max(left, 0) // (len(texts) - done)].decode(errors="ignore").encode()
-        left -= len(part[i])
-    return b"".join(b" " + part[i] for i in range(len(texts)))[:most]
+def whole_texts(texts: list[bytes], most: int) -> bytes:
+    """Texts, shortest first, that fit into `most` bytes, with a space before each; at least one."""
+    out, used = [], 0
+    for text in sorted(texts, key=lambda t: (len(t), t)):
+        used += len(text) + 1
+        if out and used > most:
+            break
+        out.append(b" " + text)
+    return b"".join(out)
 
 
 def training_text(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, bytes]:
     """A bounded sample of labelled text for each language."""
     key = content_key(docs)
     order = F.xxhash64("key", F.lit(SEED))
-    labelled = docs.where("lang is not null").select(col("lang").cast("string").alias("lang"), key.alias("key"))
+    lettered = F.lower(col("text").cast("string")).rlike("[a-z]|[^\\x00-\\x7f]")
+    labelled = docs.where("lang is not null").where(lettered).select(col("lang").cast("string").alias("lang"), key.alias("key"), F.octet_length(col("text").cast("string")).alias("size")).distinct()
     # The limit for each language is applied before the shuffle, too.
-    chosen = labelled.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "key"))).where(F.col("n") <= docs_per_language).select("lang", "key").distinct()
+    sample = labelled.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "key"))).where(F.col("n") <= docs_per_language)
+    # What doesn't fit is left out here already, so that no text of any length
+    # beyond the budget comes to the driver, but for a language's only one.
+    fits = Window.partitionBy("lang").orderBy("size", "key")
+    chosen = sample.withColumn("before", F.sum("size").over(fits) - F.col("size")).where(F.col("before") <= chars).select("lang", "key")
     # A bounded number of keys for each language, so broadcasting is safe.
-    texts = docs.select(col("text").cast("string").alias("text"), key.alias("key")).join(F.broadcast(chosen), "key")
-    rows = texts.select("lang", "key", F.lower(F.substring("text", 1, chars)).alias("text")).distinct().orderBy("lang", order, "key").toArrow().to_pylist()
-    sample: dict[str, list[bytes]] = {}
+    rows = docs.select(col("text").cast("string").alias("text"), key.alias("key")).join(F.broadcast(chosen), "key").select("lang", F.lower("text").alias("text"), "key").distinct().toArrow().to_pylist()
+    texts: dict[str, list[bytes]] = {}
     for r in rows:
-        sample.setdefault(r["lang"], []).append((r["text"] or "").encode())
-    out = {k: shared_out(v, chars) for k, v in sample.items()}
-    return {k: v for k, v in out.items() if normal(np.frombuffer(v, np.uint8)).tobytes().strip()}
+        texts.setdefault(r["lang"], []).append(r["text"].encode())
+    return {k: whole_texts(v, chars) for k, v in texts.items()}
 
 
 def identify(docs: DataFrame, texts: dict[str, bytes], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, language, bits) of every row; bits per byte of the winner."""
     held = docs.sparkSession.sparkContext.broadcast(texts)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(held.value)
         names = pa.array(parser.languages, pa.string())
         for batch in batches:
-            raw, offsets = text_buffers(pc.utf8_lower(pc.fill_null(batch.column(1).cast(pa.large_string()), "")))
-            raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-            n = batch.num_rows
-            letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
-            void = letters[offsets[1:]] == letters[offsets[:-1]]
-            if not parser.languages:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64())], ["doc_id", "language", "bits"])
-                continue
-            bits = parser.phrases(raw, offsets) * parser.cost / np.maximum(np.diff(offsets), 1)[:, None]
-            best = bits.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(best, mask=void)), pa.array(bits[np.arange(n), best], mask=void)], ["doc_id", "language", "bits"])
-
-    return docs.select(col(id_column).cast("bigint").alias("doc_id"), col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, language string, bits double")
+            all_bytes, all_offsets = text_buffers(pc.utf8_lower(pc.fill_null(batch.column(1).cast(pa.large_string()), "")))
+            for a, b in slices(all_offsets, SLICE):
+                ids, n = batch.column(0).slice(a, b - a), b - a
+                if not parser.languages:
+                    yield pa.RecordBatch.from_arrays([ids, pa.nulls(n, pa.string()), pa.nulls(n, pa.float64())], ["doc_id", "language", "bits"])
+                    continue
+                raw, offsets = all_bytes[all_offsets[a] : all_offsets[b]], all_offsets[a : b + 1] - all_offsets[a]
+                letters = np.flatnonzero(_LETTER[raw])
+                void = np.searchsorted(letters, offsets[1:]) == np.searchsorted(letters, offsets[:-1])
+                bits = parser.phrases(raw, offsets) * parser.cost / np.maximum(np.diff(offsets), 1)[:, None]
+                best = bits.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([ids, names.take(pa.array(best, mask=void)), pa.array(bits[np.arange(n), best], mask=void)], ["doc_id", "language", "bits"])
+
+    return docs.select(col(id_column).alias("doc_id"), col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type(docs, id_column)}, language string, bits double")
