@@ -9,13 +9,19 @@ on the vectors is divided by the squared length of the document's average, so
 that long and short documents move the output alike.
 
 Training reads a bounded sample of the labelled rows (`TRAIN_ROWS`, chosen by
-hash of the id, so it is the same on every run).  Scoring covers every document
-and its whole text: as the output layer is linear in the average, each bucket's
+hash of the id, so it is the same on every run).  Executors turn whole texts into
+buckets and shares, of which a text has at most `BUCKETS`, so what the driver
+gets is bounded whatever the texts' lengths.  Scoring covers every document and
+its whole text: as the output layer is linear in the average, each bucket's
 product with it is formed once and scoring only adds those up.
 
 Defined results: null or empty text has no features and gets the prior of the
 classes; labels that are null or have no document are left out; where an id
-has several labels the worse counts; without any usable label everything stays.
+has several labels the worse counts, and where it has several texts the least
+text is trained on; without any usable label everything stays; repeated rows and
+very long texts are each scored whole; ids keep their type; an empty table gives
+no rows; other columns, whatever their names, pass through.  Ties: of equally
+probable classes the first of CLASSES wins.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import col
+from vellum.llm.shared import col, id_type
 from vellum.llm.textkit import _VALUE, _WORD, U64, gram_hashes, mix64, slices, span_hashes, spans_of, text_buffers, tidy
 
 CLASSES = ("clean", "low_quality", "toxic")
@@ -118,58 +124,65 @@ def scores_of(raw: np.ndarray, offsets: np.ndarray, logits: np.ndarray, bias: np
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _examples(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Distinct buckets, their share of all features and its squared length."""
-    out = []
-    for text in texts:
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        w = words_of(raw, np.array([0, len(raw)]))
-        times = np.bincount(w.word, minlength=len(w.first) - 1)
-        bucket = np.concatenate([w.feature, w.pair])
-        weight = np.concatenate([np.repeat(times, np.diff(w.first)), np.ones(len(w.pair))])
-        order = np.argsort(bucket)
-        bucket, weight = bucket[order], weight[order]
-        new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        total = np.add.reduceat(weight, new) if len(new) else weight
-        share = (total / max(total.sum(), 1)).astype(np.float32)
-        out.append((bucket[new], share, float(share @ share) + 1e-9))
-    return out
-
-
-def train(texts: list[str], labels: list[int], classes: int = len(CLASSES), epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text, ascending, and their shares of all its features."""
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    w = words_of(raw, np.array([0, len(raw)]))
+    times = np.bincount(w.word, minlength=len(w.first) - 1)
+    bucket = np.concatenate([w.feature, w.pair])
+    weight = np.concatenate([np.repeat(times, np.diff(w.first)), np.ones(len(w.pair))])
+    order = np.argsort(bucket)
+    bucket, weight = bucket[order], weight[order]
+    new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    total = np.add.reduceat(weight, new) if len(new) else weight
+    return bucket[new].astype(np.int32), (total / max(total.sum(), 1)).astype(np.float32)
+
+
+@tidy
+def _share_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [shares_of(t.as_py()) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in pairs], pa.binary()), pa.array([x.tobytes() for _, x in pairs], pa.binary()), batch.column(1)], ["bucket", "share", "label"])
+
+
+def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], classes: int = len(CLASSES), epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(buckets x classes) shares in the logits, and the classes' bias."""
-    rng = np.random.RandomState(seed)
-    examples, y = _examples(texts), np.asarray(labels)
+    rng, y = np.random.RandomState(seed), np.asarray(labels)
     prior = (np.bincount(y, minlength=classes) + 1) / (len(y) + classes)
     vectors = rng.uniform(-0.02, 0.02, (BUCKETS, WIDTH)).astype(np.float32)
     output, bias = rng.uniform(-0.5, 0.5, (WIDTH, classes)).astype(np.float32), np.log(prior).astype(np.float32)
+    # Rows of the table as single values, which numpy scatters faster.
+    rows = vectors.view(np.dtype((np.void, WIDTH * vectors.itemsize))).ravel()
+    norms = [np.float32(share @ share + 1e-9) for _, share in examples]
     for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
+        rate = np.float32(RATE * (1 - epoch / epochs))
         for i in rng.permutation(len(y)):
-            bucket, share, norm = examples[i]
-            hidden = share @ vectors[bucket]
+            bucket, share = examples[i]
+            mine = vectors.take(bucket, axis=0)
+            hidden = share @ mine
             z = hidden @ output + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y[i]] -= 1
             back = output @ p
-            output -= rate * 0.1 * np.outer(hidden, p) / (1 + hidden @ hidden)
-            bias -= rate * 0.01 * p
-            vectors[bucket] -= (rate / norm * share)[:, None] * back
+            output -= rate * np.float32(0.1) * np.outer(hidden, p) / (1 + hidden @ hidden)
+            bias -= rate * np.float32(0.01) * p
+            mine -= np.outer(share * (rate / norms[i]), back)
+            rows[bucket] = mine.view(rows.dtype).ravel()
     return (vectors @ output).astype(np.float32), bias
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and classes of at most `limit` labelled documents."""
-    texts = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").cast("string").alias("text")).where("text is not null")
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
+    """(text, label) of at most `limit` labelled documents, in the order of training."""
+    texts = docs.select(col("doc_id"), col("text").cast("string").alias("text")).where("text is not null")
     # Labels that no text belongs to must not use up the sample.
-    usable = labels.where("doc_id is not null and (quality is not null or toxic is not null)").join(texts.select("doc_id"), "doc_id", "left_semi")
+    usable = labels.select(F.col("doc_id").cast(id_type(docs, "doc_id")).alias("doc_id"), "quality", "toxic").where("doc_id is not null and (quality is not null or toxic is not null)").join(texts.select("doc_id"), "doc_id", "left_semi")
     known = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(SEED))
     chosen = known.select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("label")).orderBy(order, "doc_id").limit(limit)
     # At most `limit` rows of two numbers, so broadcasting them is bounded.
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").toArrow()
-    return rows["text"].to_pylist(), rows["label"].to_pylist()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").select("text", "label")
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_column: str = "doc_id") -> DataFrame:
@@ -185,7 +198,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_column: str
                 p = scores_of(raw, offsets[a : b + 1], logits, bias)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.array(CLASSES)[p.argmax(axis=1)]), pa.array(p[:, 0]), pa.array(p.argmax(axis=1) == 0)], ["doc_id", "label", "clean", "keep"])
 
-    return docs.select(col(id_column).cast("bigint").alias("doc_id"), col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, label string, clean double, keep boolean")
+    return docs.select(col(id_column).alias("doc_id"), col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type(docs, id_column)}, label string, clean double, keep boolean")
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -208,7 +221,8 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    texts, classes = training_rows(docs, labels, limit)
-    if not texts:
+    rows = training_rows(docs, labels, limit).mapInArrow(_share_batches, "bucket binary, share binary, label int").toArrow()
+    if not rows.num_rows:
         return np.zeros((BUCKETS, len(CLASSES)), np.float32), np.array([1.0, 0.0, 0.0], np.float32)
-    return train(texts, classes)
+    parts = zip(rows["bucket"], rows["share"])
+    return train([(np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for b, x in parts], rows["label"].to_pylist())
