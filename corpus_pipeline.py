@@ -2,6 +2,18 @@
 
 Each stage is one of the corpus operators with production parameters.  It gets
 all that its predecessor kept, read from Parquet; its decisions take effect.
+
+Defined results: rows with null or empty text are clean to the classifier, belong
+to no group and hold no benchmark item, so they stay until the mix, in which they
+count as empty; a source of nothing else, and so of no size, gives nothing to the
+mix.  Of rows that repeat id and text one stays.  Very long texts pass every stage
+whole.  An empty table gives an empty table with shard and slot, an empty benchmark
+removes nothing, and without usable labels the first stage keeps all.  Columns
+other than doc_id, text and source pass through under their names, and should one
+be called shard or slot, the added one gets an underscore.  Ids keep their type.
+Ties are settled as the stages' operators say: the smallest id of a group stays,
+equally probable classes count as clean, and rows equal in every column take
+successive places.
 """
 
 from __future__ import annotations
@@ -11,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import classifier, decontaminate, mixing, sharding, simhash
-from vellum.llm.shared import table, written
+from vellum.llm.shared import drop_written, settled, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, made = table(spark, sf_dir, "documents"), False
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        kept = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if made:
+            drop_written(docs)
+        docs, made = kept, True
     return docs
