@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
-import re
-from collections import Counter
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.functions import tokens as K
 
 DIM = 512
-_TOKEN = re.compile(r"\b[a-zA-Z0-9][a-zA-Z0-9_\-]*\b")
 
 
 def postings(df: DataFrame, id_column: str = "id", text_column: str = "text", dim: int = DIM) -> DataFrame:
@@ -27,31 +22,38 @@ def postings(df: DataFrame, id_column: str = "id", text_column: str = "text", di
     return weighted.groupBy(id_column, "bucket").agg(F.sum("w").alias("weight"))
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str, dim: int) -> tuple[int, float]:
-    d = hashlib.md5(token.encode()).digest()
-    return int.from_bytes(d[:4], "little") % dim, -1.0 if d[4] & 1 else 1.0
+def embed_texts(texts: pa.Array, dim: int = DIM) -> np.ndarray:
+    """(n, dim) unit vectors of texts; all zeros where a text has no token."""
+    if dim <= 0:
+        raise ValueError("dim must be positive")
+    points, first = K.code_points(texts)
+    t = K.tokens_of(points, first, keywords=False)
+    n, size = len(texts), max(len(t.words), 1)
+    near = t.row[1:] == t.row[:-1]
+    pair, which = np.unique(t.word[:-1][near] * size + t.word[1:][near], return_inverse=True)
+    joined = pc.binary_join_element_wise(t.words.take(pa.array(pair // size)), t.words.take(pa.array(pair % size)), pa.scalar("_", t.words.type))
+    # A pair may read like a token, in which case they count as one feature.
+    coded = pc.dictionary_encode(pa.concat_arrays([t.words, joined]))
+    feature = coded.indices.to_numpy().astype(np.int64)
+    row, feature, times, _ = K.counted(np.concatenate([t.row, t.row[1:][near]]), np.concatenate([feature[t.word], feature[len(t.words) + which]]), len(coded.dictionary))
+    digest = K.md5_words(coded.dictionary)
+    slot, sign = (digest[:, 0] % dim).astype(np.int64), 1.0 - 2.0 * (digest[:, 1] & 1)
+    out = np.bincount(row * dim + slot[feature], weights=sign[feature] * (1 + np.log(times)), minlength=n * dim).reshape(n, dim)
+    norm = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(norm == 0, 1, norm)[:, None]
 
 
 def embed_text(text: str | None, dim: int = DIM) -> np.ndarray:
-    """Unit vector of a text; all zeros where it has no token."""
-    if dim <= 0:
-        raise ValueError("dim must be positive")
-    tokens = [t.lower() for t in _TOKEN.findall(text or "")]
-    out = np.zeros(dim)
-    for token, n in Counter(tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])]).items():
-        slot, sign = _slot(token, dim)
-        out[slot] += sign * (1 + math.log(n))
-    norm = math.sqrt(out @ out)
-    return out / norm if norm else out
+    return embed_texts(pa.array([text], pa.string()), dim)[0]
 
 
 def embedding(text: Column | str, dim: int = DIM) -> Column:
     """Dense unit vectors, batch by batch."""
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed_text(t, dim).astype(np.float32))
+    @F.arrow_udf("array<float>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = [embed_texts(part, dim).astype(np.float32).ravel() for part in K.slices(texts)]
+        return pa.ListArray.from_arrays(pa.array((np.arange(len(texts) + 1) * dim).astype(np.int32)), pa.array(np.concatenate(out)))
 
     return run(T.c(text))
 

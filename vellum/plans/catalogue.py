@@ -15,6 +15,7 @@ from vellum.functions import text as T
 from vellum.operators import content, indexing, memory, rollups, search, vectors
 from vellum.plans.sql import KEYWORDS, NAMED, POSTINGS, RECORDS, SEARCH_TERMS, UNIT, hybrid_sql, stop_list, tokens_sql
 from vellum.sources import connectors, readers
+from vellum.session import saved, spread
 from vellum.sources import store as stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +199,6 @@ def deepen_decision(spark, sf_dir):
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellum.session import saved
-
     none = spark.createDataFrame([], stores.SCHEMAS["membership"])
     docs = indexing.analysed(indexing.identified(assets(spark, sf_dir))).withColumn("is_current", F.lit(True))
     return saved(indexing.records_of(docs, none))

@@ -37,3 +37,13 @@ def saved(df: DataFrame) -> DataFrame:
     """Cut lineage: the rows live in the shared folder, so lost executors don't matter."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files, over all cores where it comes in fewer pieces than there are cores.
+
+    A file of one row group is read by one task, and so would be all that follows.
+    Tables in as many pieces as there are cores, as large ones are, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
