@@ -12,8 +12,11 @@ def test_query_equals_sql(spark, name):
 
 
 def test_rows_only_queries_run(spark):
-    for name in set(catalogue.QUERIES) - set(catalogue.SQL) - {"search_evidence"}:
-        assert catalogue.QUERIES[name](spark, SMALL).columns
+    rows = {name: catalogue.QUERIES[name](spark, SMALL).collect() for name in set(catalogue.QUERIES) - set(catalogue.SQL)}
+    assert set(rows) == {"search_evidence", "context_block"} and all(rows.values())
+    cited = {r["query_id"]: r["context"] for r in rows["context_block"]}
+    for r in rows["search_evidence"]:
+        assert f"[{r['position']}] {r['citation']}\n{r['excerpt']}" in cited[r["query_id"]]
 
 
 def test_entry(spark):

@@ -72,7 +72,7 @@ def test_tables_tool_and_command_line(spark, tmp_path, capsys):
         db.execute("CREATE TABLE customers (id INTEGER, name TEXT, email TEXT)")
         db.executemany("INSERT INTO customers VALUES (?, ?, ?)", [(i, f"Name {i}", f"n{i}@example.com") for i in range(20)])
     e = Engine.open(spark, str(tmp_path / "cat"))
-    assert e.add_sqlite(str(tmp_path / "shop.db")).build()["indexed"] == 1
+    assert e.add_sql(str(tmp_path / "shop.db")).build()["indexed"] == 1
     row = e.store.read("documents").first()
     assert row["modality"] == "tabular" and row["metadata"]["row_count"] == "20"
     tool = e.as_tool()
@@ -107,7 +107,6 @@ def test_readers():
     assert readers.REGISTRY.parse("a.html", b"<p>Hello</p><script>x()</script>") == [("text", "Hello", "a.html")]
     assert readers.REGISTRY.parse("a.zzz", b"plain") == [("text", "plain", "a.zzz")]
     assert readers.REGISTRY.parse("a.pdf", b"plain") == []
-    assert readers.decoded("é".encode("latin-1") + b"a b") == "éa b" or readers.decoded(b"\xe9")
 
 
 def test_chunks_equal_packing(spark):
@@ -133,3 +132,367 @@ def test_profile_types():
     assert (p["modality"], p["row_count"]) == ("tabular", 2)
     assert [c["inferred_type"] for c in p["columns"]] == ["number", "category", "email", "boolean"]
     assert content.python_profile([("text", "  ", "t")])["modality"] == "empty"
+
+
+def test_whole_chunking_of_several_blocks():
+    """Packing in order, the carried tail, joined locations and headings."""
+    blocks = [("heading", "Title line\nmore", "p.1"), ("text", " ".join(f"a{i}" for i in range(40)), "p.1"), ("text", " ".join(f"b{i}" for i in range(40)), "p.2"), ("slide", "", "p.3"), ("page", " ".join(f"c{i}" for i in range(200)), "p.4")]
+    got = content.pack_blocks(blocks, 80, 20)
+    assert got[0]["heading"] == "Title line" and got[0]["location"] == "p.1"
+    for a, b in zip(got, got[1:]):
+        assert b["text"].split()[:15] == a["text"].split()[-15:]
+    assert got[1]["location"] == "p.1 - p.2" and got[-1]["location"] == "p.4" and got[-1]["heading"] == "Page"
+    assert [c["index"] for c in got] == list(range(len(got))) and all(c["token_count"] <= 80 + 27 for c in got)
+
+
+def test_chunking_takes_time_in_proportion():
+    import time
+
+    import pyarrow as pa
+
+    from vellum.functions import tokens
+
+    def seconds(n):
+        text, took = pa.array([" ".join(f"w{i}" for i in range(n))]), []
+        for _ in range(3):
+            began = time.perf_counter()
+            tokens.windows(text, 600, 600, 60)
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(1_200_000) < 12 * seconds(300_000)
+
+
+def test_windows_of_odd_texts():
+    import pyarrow as pa
+
+    from vellum.functions import tokens
+
+    rows = [None, "", "  　", " one two\u0085three four  ", "a b c d e f g", "é" * 9, "x\ty\n\nz " * 5]
+    for win, back in ((3, 1), (2, 0), (600, 60)):
+        got = tokens.windows(pa.array(rows), win, win, back).to_pylist()
+        for text, chunks in zip(rows, got):
+            words = (text or "").split()
+            want = [] if not words else [text.strip()] if len(words) <= win else []
+            if len(words) > win:
+                at = 0
+                while True:
+                    tail = " ".join(words[at - (win - back) + win - back : at - (win - back) + win]) + "\n\n" if at and back else ""
+                    want.append(tail + " ".join(words[at : at + win]))
+                    if at + win >= len(words):
+                        break
+                    at += win - back
+            assert chunks == want
+
+
+def test_tokens_are_those_of_the_expressions():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from vellum.functions import tokens
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abZ9_- -é中²ß.\n—'x\0") for _ in range(rng.randrange(40))) for _ in range(2000)] + [None, "", "foo-barß", "a--", "9-abc"]
+    for keywords, pattern in ((True, r"\b[a-zA-Z][a-zA-Z0-9_\-]{2,}\b"), (False, r"\b[a-zA-Z0-9][a-zA-Z0-9_\-]*\b")):
+        t = tokens.tokens_of(*tokens.code_points(pa.array(texts)), keywords)
+        words, got = t.words.to_pylist(), [[] for _ in texts]
+        for r, w in zip(t.row, t.word):
+            got[r].append(words[w])
+        assert got == [[x.lower() for x in re.findall(pattern, s or "")] for s in texts]
+
+
+def test_digests_are_md5():
+    import hashlib
+
+    import pyarrow as pa
+
+    from vellum.functions import tokens
+
+    texts = ["", "a", "é", *("x" * n for n in (55, 56, 63, 64, 119, 120, 500))]
+    assert tokens.md5_words(pa.array(texts)).astype("<u4").tobytes() == b"".join(hashlib.md5(t.encode()).digest()[:8] for t in texts)
+
+
+def test_models_summarize_and_embed(spark, tmp_path):
+    from vellum.operators import models
+
+    def complete(title, text):
+        if text.startswith("This one"):
+            raise OSError("no answer")
+        return f"Summary of {title}."
+
+    e = Engine.open(spark, str(tmp_path / "cat"), embed=models.model_embedder(lambda texts: [[float(len(t)), 1.0] for t in texts], batch=2), summarize=models.model_summarizer(complete))
+    e.add_text("All is well.", "one").add_text("This one fails.", "two").build()
+    assert {r["title"]: r["summary"] for r in e.items().collect()} == {"one.txt": "Summary of one.txt.", "two.txt": "This one fails."}
+    assert {len(r["vector"]) for r in e.records.all_records().collect()} == {2}
+    assert "Summary of /" in e.records.all_records().where("doc_type = 'folder_rollup'").first()["text"]
+
+
+class TableRecords:
+    """A store of one's own that keeps its records in memory."""
+
+    def __init__(self, spark):
+        self.spark, self.rows, self.calls = spark, None, []
+
+    def all_records(self):
+        from vellum.sources.store import SCHEMAS
+
+        return self.spark.createDataFrame(self.rows or [], SCHEMAS["records"])
+
+    def _keep(self, df):
+        self.rows = [tuple(r) for r in df.collect()]
+
+    def upsert(self, records):
+        self._keep(self.all_records().join(records.select("id"), "id", "left_anti").unionByName(records))
+
+    def delete_documents(self, docs):
+        self.calls.append("delete_documents")
+        self._keep(self.all_records().join(docs, "doc_id", "left_anti").select(*self.all_records().columns))
+
+    def persist(self):
+        pass
+
+    def close(self):
+        self.calls.append("close")
+
+
+def test_store_without_editions_deletes_them(spark, tmp_path):
+    from vellum.sources.backends import RecordStore, implements, keeps_editions
+
+    class Stub(RecordStore):
+        pass
+
+    class Delegating:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    store = TableRecords(spark)
+    e = Engine.open(spark, str(tmp_path / "cat"), records=store)
+    assert not e.archives and not keeps_editions(Stub()) and not implements(Stub(), "archive")
+    assert keeps_editions(Delegating(Engine.open(spark, str(tmp_path / "other")).records))
+    given = TableRecords(spark)
+    given.archive = given.delete_editions = lambda df: None
+    assert keeps_editions(given)
+    e.add_text("The plan costs 49 dollars.", "plan").build()
+    e.add_text("The plan costs 59 dollars.", "plan").build()
+    texts = " ".join(r["text"] for r in e.records.all_records().collect())
+    assert "59 dollars" in texts and "49 dollars" not in texts and "delete_documents" in store.calls
+    assert e.search("plan dollars", include_chunks=True)[0]["excerpt"]
+    e.close()
+    assert store.calls[-1] == "close"
+
+
+def test_flat_backend_filters_afterwards(spark, tmp_path):
+    from vellum.operators.search import Filters, embedded
+
+    e = Engine.open(spark, str(tmp_path / "cat"), backend="flat")
+    for i in range(12):
+        e.add_text(f"river number {i}", f"n{i}", source_id="a" if i < 11 else "b")
+    e.build()
+    asked = embedded(spark.createDataFrame([(0, "river number 3")], "query_id bigint, query string"))
+    assert e.records.search_semantic(asked, 2).orderBy("rank").first()["id"]
+    assert e.records.search_semantic(asked, 1, Filters(source_ids=("b",))).count() <= 1
+    assert e.search("river number 3")[0]["title"] == "n3.txt"
+
+
+def test_catalogue_verbs(spark, tmp_path):
+    e = Engine.open(spark, str(tmp_path / "cat"))
+    e.add_text(" ".join(f"word{i}" for i in range(1500)), "long").build()
+    doc = e.catalogue.all_documents().first()
+    now = e.catalogue.get_current_version(doc["doc_id"])
+    assert e.catalogue.get_document(doc["doc_id"])["title"] == "long.txt" and e.catalogue.get_document("none") is None
+    assert e.catalogue.get_version(doc["doc_id"], now["version_id"]) == now and e.catalogue.get_version(doc["doc_id"], "x") is None
+    assert [r["idx"] for r in e.catalogue.get_chunks(doc["doc_id"], now["version_id"]).collect()] == [0, 1, 2]
+    e.catalogue.set_version_flags(doc["doc_id"], now["version_id"], embedded=False, other=True)
+    assert not e.catalogue.get_current_version(doc["doc_id"])["embedded"]
+    section = e.catalogue.upsert_section("Long ones", "texts")
+    e.catalogue.assign_membership(doc["doc_id"], section, 0.5, "size")
+    assert e.catalogue.sections_of(doc["doc_id"]) == [section] and e.catalogue.documents_of(section) == [doc["doc_id"]]
+    assert e.catalogue.all_sections().first()["description"] == "texts"
+    e.catalogue.mark_deleted(doc["doc_id"])
+    assert e.catalogue.all_documents().count() == 0 and e.catalogue.all_documents(include_deleted=True).count() == 1
+
+
+def test_unchanged_build_writes_no_records(spark, tmp_path):
+    e = Engine.open(spark, str(tmp_path / "cat"))
+    e.add_text("Some text.", "one").build()
+    before = e.store.pointer()
+    assert e.add_text("Some text.", "one").build()["skipped"] == 1
+    after = e.store.pointer()
+    assert {k for k in after if after[k] != before[k]} == {"rollups"}
+    import os
+
+    assert not [f for f in os.listdir(spark.conf.get("spark.checkpoint.dir")) if f.startswith("staged-")]
+
+
+def test_errors_of_sources_are_kept(spark, tmp_path):
+    def broken():
+        raise OSError("no such place")
+
+    e = Engine.open(spark, str(tmp_path / "cat"))
+    assert e.add_source(broken).build()["failed"] == 1 and "no such place" in e.errors[0]
+
+
+def test_object_store_paths(spark, tmp_path):
+    for name, text in {"a.txt": "alpha", "sub/b.md": "beta", "node_modules/c.md": "no", "d.zzz": "no"}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    for path in (f"file://{tmp_path}/in", f"{tmp_path}/in/"):
+        found = connectors.from_binary_files(spark, path).collect()
+        assert {(r["name"], bytes(r["data"]).decode()) for r in found} == {("a.txt", "alpha"), ("sub/b.md", "beta")}
+
+
+def test_databases(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "x.db")
+    db.execute("CREATE TABLE t (a INTEGER, b TEXT)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", [(i, f"v{i}") for i in range(30)])
+    db.commit()
+
+    class Pool:
+        def raw_connection(self):
+            return sqlite3.connect(tmp_path / "x.db")
+
+    want = None
+    for given in ({"path": str(tmp_path / "x.db")}, {"connection": db}, {"engine": Pool()}):
+        rows = connectors.sql_tables(spark, sample_rows=3, **given).collect()
+        assert len(rows) == 1 and rows[0]["metadata"]["row_count"] == "30" and bytes(rows[0]["data"]).count(b"v") == 3
+        want = want or rows
+        assert rows == want
+    assert db.execute("SELECT count(*) FROM t").fetchone() == (30,)
+    assert connectors.sql_tables(spark, connection=db, tables=["none"]).count() == 0
+    for make in (lambda: connectors.sql_tables(spark), lambda: Engine.open(spark, str(tmp_path / "c")).add_sql()):
+        with pytest.raises(ValueError):
+            make()
+
+
+def test_sites_by_command_line_and_fetcher(spark, tmp_path, capsys, monkeypatch):
+    pages = {"https://a.org/": ("Home", '<a href="/b">b</a> welcome'), "https://a.org/b": ("B", "rivers and lakes")}
+    e = Engine.open(spark, str(tmp_path / "cat"))
+    assert e.add_url("a.org", pages.get, public=lambda _: True).build()["indexed"] == 2
+    assert e.search("rivers lakes")[0]["uri"] == "https://a.org/b"
+    # No page is fetched from a host that isn't public.
+    assert main(["--root", str(tmp_path / "cli"), "index", "http://localhost/x", "--max-pages", "3"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["indexed"] == 0
+    assert connectors.http_fetch("http://127.0.0.1:9/") is None
+
+
+def test_pages_become_items(spark):
+    pages = spark.createDataFrame([("https://a.org/x", "", "text", 0), ("https://a.org/y", "Y", "", 1), ("", "Z", "t", 1)], "url string, title string, text string, depth int")
+    assert [(r["uri"], r["title"], r["media_type"]) for r in connectors.from_pages(pages).collect()] == [("https://a.org/x", "https://a.org/x", "html")]
+
+
+def test_decoders_of_other_encodings_and_json():
+    assert readers.decoded("é".encode()) == "é" and readers.decoded("é".encode("utf-16")) == "é"
+    assert readers.decoded(b"\xe9ab") == "éab"
+    assert readers.REGISTRY.parse("a.json", b'{"b": [1]}') == [("text", '{\n  "b": [\n    1\n  ]\n}', "a.json")]
+    assert readers.REGISTRY.parse("a.jsonl", b'{"a":1}\n{"a":2}') == [("text", '{"a":1}\n{"a":2}', "a.jsonl")]
+    assert readers.REGISTRY.parse("a.tsv", b"a\tb\n1\t2\n") == [("table", "a | b\n1 | 2", "a.tsv")]
+    assert len(readers.REGISTRY.parse("a.csv", b"x\n" * 5000)[0][1].split("\n")) == readers.TABLE_ROWS + 1
+
+
+def test_optional_decoders_by_stand_ins(monkeypatch):
+    import sys
+    import types
+
+    def module(name, **members):
+        m = types.ModuleType(name)
+        m.__dict__.update(members)
+        monkeypatch.setitem(sys.modules, name, m)
+
+    thing = types.SimpleNamespace
+    module("pypdf", PdfReader=lambda _: thing(pages=[thing(extract_text=lambda: " one "), thing(extract_text=lambda: None)]))
+    module("docx", Document=lambda _: thing(paragraphs=[thing(text="a"), thing(text=" "), thing(text="b")]))
+    frame = lambda t: thing(has_text_frame=True, text_frame=thing(text=t))
+    module("pptx", Presentation=lambda _: thing(slides=[thing(shapes=[frame(" x "), frame("y")]), thing(shapes=[])]))
+    module("openpyxl", load_workbook=lambda *_, **__: thing(worksheets=[thing(title="S", iter_rows=lambda **_: [(1, None, "z"), (None,)])]))
+    module("pytesseract", image_to_string=lambda _: " seen ")
+    module("PIL", Image=thing(open=lambda _: None))
+    parse = readers.REGISTRY.parse
+    assert parse("a.pdf", b"") == [("page", "one", "p.1")] and parse("a.docx", b"") == [("text", "a\nb", "a.docx")]
+    assert parse("a.pptx", b"") == [("slide", "x\ny", "slide 1")] and parse("a.xlsx", b"") == [("sheet", "1 | z", "S")]
+    assert parse("a.png", b"") == [("text", "seen", "a.png")]
+
+
+def test_registered_reader_is_used(spark, monkeypatch):
+    monkeypatch.setattr(readers.REGISTRY, "readers", dict(readers.REGISTRY.readers))
+    readers.register_reader((".q",), lambda name, data: [("text", data.decode().upper(), name)])
+    assert readers.REGISTRY.parse("x.q", b"abc") == [("text", "ABC", "x.q")] and "q" in readers.supported_extensions()
+
+
+def test_versions_by_etag(spark):
+    from vellum.functions import text as T
+
+    rows = spark.createDataFrame([("a", "t1"), ("b", "t1"), ("a", ""), ("a", None)], "data string, etag string")
+    ids = [r[0] for r in rows.select(T.version_id("data", F.col("etag"))).collect()]
+    assert ids[0] == ids[1] != ids[2] == ids[3]
+
+
+def test_langchain_tool(spark, tmp_path, monkeypatch):
+    import sys
+    import types
+
+    class StructuredTool:
+        @classmethod
+        def from_function(cls, func, name, description):
+            made = cls()
+            made.func, made.name, made.description = func, name, description
+            return made
+
+    made = types.ModuleType("langchain.tools")
+    made.StructuredTool = StructuredTool
+    monkeypatch.setitem(sys.modules, "langchain", types.ModuleType("langchain"))
+    monkeypatch.setitem(sys.modules, "langchain.tools", made)
+    e = Engine.open(spark, str(tmp_path / "cat"))
+    e.add_text("Rivers run to the sea.", "r").build()
+    tool = e.as_tool().as_langchain_tool()
+    assert tool.name == "catalogue_search" and json.loads(tool.func("rivers"))["evidence"]
+
+
+def test_equal_scores_give_k_by_id(spark):
+    """A third of all vectors may be the same; only k of them leave a task."""
+    from vellum.operators import search
+
+    records = spark.createDataFrame([(f"r{i:03}", [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(300)], "id string, vector array<float>")
+    queries = spark.createDataFrame([(q, [1.0, 0.0]) for q in range(5)] + [(9, [0.0, 0.0])], "query_id int, vector array<float>")
+    for batch in (search.BATCH, 2):
+        search.BATCH = batch
+        found = search.semantic(records, queries, 4).collect()
+        assert sorted((r["query_id"], r["rank"], r["id"]) for r in found) == [(q, n + 1, i) for q in range(5) for n, i in enumerate(("r001", "r002", "r004", "r005"))]
+    search.BATCH = 4096
+
+
+def test_shared_folder_of_the_context_is_respected(spark, tmp_path, monkeypatch):
+    from vellum import session
+
+    class Clustered:
+        def __init__(self, real):
+            self.real, self.master = real, "spark://host:7077"
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    class Session:
+        def __init__(self, context, settings):
+            self.sparkContext, self.settings = context, settings
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.settings.get(key, default)
+
+    assert session.shared_folder(Session(Clustered(spark.sparkContext), {"spark.checkpoint.dir": "/shared"})) == "/shared"
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        assert session.shared_folder(Session(Clustered(spark.sparkContext), {})) == folder
+
+    class Bare(Clustered):
+        @property
+        def _jsc(self):
+            none = type("N", (), {"isDefined": lambda s: False, "isEmpty": lambda s: True})()
+            return type("J", (), {"sc": lambda s: type("S", (), {"getCheckpointDir": lambda s: none})()})()
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session(Bare(spark.sparkContext), {}))

@@ -21,4 +21,12 @@ class CatalogConfig:
     crawl_max_pages: int = 100
     crawl_max_depth: int = 6
     embedding_dim: int = 512
+    #: "snapshots", or "flat" for filters after the vector search.
+    backend: str = "snapshots"
+    #: "local", or "openai" for the models of that service, whose package executors need.
+    embedding_provider: str = "local"
+    summarizer_provider: str = "local"
+    embedding_model: str = "text-embedding-3-small"
+    summarizer_model: str = "gpt-4o-mini"
+    api_key: str | None = field(default=None, repr=False)
     extras: dict = field(default_factory=dict)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import CatalogConfig
 from vellum.functions import text as T
 from vellum.operators import content, vectors
+from vellum.operators.models import Embedder, Summarizer, extractive
 from vellum.operators.search import CHUNK, FOLDER, SECTION, SUMMARY
 from vellum.sources import readers
 
-Embedder = Callable[[Column], Column]
 RECORD = ("id", "doc_type", "doc_id", "text", "title", "uri", "source_id", "version_id", "location", "is_current", "section_ids", "tags", "vector")
 
 
@@ -31,7 +29,7 @@ def unchanged(items: DataFrame, versions: DataFrame) -> DataFrame:
     return items.select("doc_id", "content_hash").join(known, ["doc_id", "content_hash"], "left_semi").distinct()
 
 
-def analysed(items: DataFrame, config: CatalogConfig = CatalogConfig()) -> DataFrame:
+def analysed(items: DataFrame, config: CatalogConfig = CatalogConfig(), summarize: Summarizer | None = None) -> DataFrame:
     """Identified assets with blocks, profile, summary, keywords and chunks.
 
     `blocks` is null where a file can't be decoded.  Nothing is shuffled.
@@ -41,7 +39,7 @@ def analysed(items: DataFrame, config: CatalogConfig = CatalogConfig()) -> DataF
     return body.select(
         "*",
         content.profile_text(F.col("profile")).alias("about"),
-        content.summary(F.substring("body", 1, config.summary_input_chars), config.summary_max_chars).alias("summary"),
+        (summarize or extractive(config.summary_max_chars))(F.col("title"), F.substring("body", 1, config.summary_input_chars)).alias("summary"),
         content.keywords("body").alias("keywords"),
         content.block_chunks("blocks", config.chunk_max_tokens, config.chunk_overlap_tokens).alias("chunks"),
     ).drop("body")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import content
+from vellum.operators.models import Summarizer, extractive
 from vellum.operators.search import FOLDER, SECTION
 
 
@@ -38,8 +38,15 @@ def _listed(members: DataFrame, key: str, most: int) -> DataFrame:
     return first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "name", "summary"))).alias("rows"))
 
 
-def folder_rollups(items: DataFrame, min_items: int = 1, max_children: int = 30, summarize: bool = True) -> DataFrame:
-    """(rollup_id, kind, key, text, doc_type) of every folder with enough items."""
+def _summary(summarize: Summarizer | bool, title: Column) -> Column:
+    return (extractive() if summarize is True else summarize)(title, F.col("base"))
+
+
+def folder_rollups(items: DataFrame, min_items: int = 1, max_children: int = 30, summarize: Summarizer | bool = True) -> DataFrame:
+    """(rollup_id, kind, key, text, doc_type) of every folder with enough items.
+
+    The text is summarized, by `summarize` where that is a summarizer, or kept as it is.
+    """
     members = folder_members(items)
     counts = folder_counts(items).where(F.col("n_total") >= min_items)
     below = members.where("child is not null").select("key", "child").distinct()
@@ -55,16 +62,16 @@ def folder_rollups(items: DataFrame, min_items: int = 1, max_children: int = 30,
     )
     head = F.concat(F.lit("Folder: "), "key", F.lit(" ("), n("n_total"), F.lit(" documents, "), n("n_subfolders"), F.lit(" sub-folders)\n"))
     out = full.select("key", "n_total", "n_subfolders", text.alias("base"))
-    final = F.concat(head, content.summary("base")) if summarize else F.col("base")
+    final = F.concat(head, _summary(summarize, F.col("key"))) if summarize else F.col("base")
     return out.select(F.concat(F.lit("folder_"), T.stable_key("key")).alias("rollup_id"), F.lit("folder").alias("kind"), "key", final.alias("text"), F.lit(FOLDER).alias("doc_type"))
 
 
-def section_rollups(sections: DataFrame, membership: DataFrame, items: DataFrame, max_children: int = 50, summarize: bool = True) -> DataFrame:
+def section_rollups(sections: DataFrame, membership: DataFrame, items: DataFrame, max_children: int = 50, summarize: Summarizer | bool = True) -> DataFrame:
     """The same for sections (section_id, name) that have members among the items."""
     members = membership.select("section_id", "doc_id").distinct().join(items, "doc_id")
     counts = members.groupBy("section_id").agg(F.count("*").alias("n"))
     full = sections.select("section_id", "name").join(counts, "section_id").join(_listed(members, "section_id", max_children), "section_id")
     n = F.col("n").cast("string")
     base = full.select("section_id", "name", "n", F.concat(F.lit("Section: "), "name", F.lit("\n"), n, F.lit(" document(s).\n\nContents:\n"), _lines(F.col("rows"), 300)).alias("base"))
-    final = F.concat(F.lit("Section: "), "name", F.lit(" ("), n, F.lit(" documents)\n"), content.summary("base")) if summarize else F.col("base")
+    final = F.concat(F.lit("Section: "), "name", F.lit(" ("), n, F.lit(" documents)\n"), _summary(summarize, F.col("name"))) if summarize else F.col("base")
     return base.select(F.concat(F.lit("section_"), "section_id").alias("rollup_id"), F.lit("section").alias("kind"), F.col("section_id").alias("key"), final.alias("text"), F.lit(SECTION).alias("doc_type"))

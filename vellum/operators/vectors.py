@@ -58,6 +58,21 @@ def embedding(text: Column | str, dim: int = DIM) -> Column:
     return run(T.c(text))
 
 
+def distinct_tokens(text: Column | str) -> Column:
+    """The distinct tokens of each row, batch by batch."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in K.slices(texts):
+            t = K.tokens_of(*K.code_points(part), keywords=False)
+            row, word, _, _ = K.counted(t.row, t.word, len(t.words))
+            out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)), t.words.take(pa.array(word)).cast(pa.string())))
+        return pa.concat_arrays(out)
+
+    return run(T.c(text))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine over the shorter length; 0 where either is empty or zero."""
     double = lambda x: F.transform(x, lambda v: v.cast("double"))

@@ -7,15 +7,16 @@ are web assets; benchmark items serve as search queries.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import content, indexing, memory, rollups, search, vectors
-from vellum.plans.sql import KEYWORDS, NAMED, POSTINGS, RECORDS, SEARCH_TERMS, UNIT, hybrid_sql, stop_list, tokens_sql
-from vellum.sources import connectors, readers
+from vellum.plans.sql import KEYWORDS, NAMED, POSTINGS, RECORDS, SEARCH_TERMS, UNIT, hybrid_sql, summary_sql
 from vellum.session import saved, spread
+from vellum.sources import connectors, readers
 from vellum.sources import store as stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,21 +110,10 @@ def sentence_split(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences("text")).alias("position", "sentence")).withColumn("position", F.col("position").cast("bigint"))
 
 
-@query(
-    f"""
-WITH {SENTENCES},
-weights AS (SELECT doc_id, token, count(*) AS w FROM (SELECT doc_id, unnest({tokens_sql('text', 'keyword')}) AS token FROM documents) WHERE token NOT IN ({stop_list()}) GROUP BY ALL),
-each AS (SELECT doc_id, unnest(range(len(s))) AS position, unnest(s) AS sentence FROM parts WHERE len(s) > 6),
-terms AS (SELECT doc_id, position, unnest({tokens_sql('sentence', 'keyword')}) AS token FROM each),
-scored AS (SELECT t.doc_id, t.position, sum(coalesce(w, 0))::DOUBLE / sqrt(count(*)) AS score FROM terms t LEFT JOIN weights USING (doc_id, token) GROUP BY ALL),
-best AS (SELECT doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS r FROM scored WHERE doc_id IN (SELECT doc_id FROM weights)) WHERE r <= 6
-  UNION ALL SELECT doc_id, position FROM each WHERE position < 6 AND doc_id NOT IN (SELECT doc_id FROM weights)),
-told AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY position) AS t FROM each JOIN best USING (doc_id, position) GROUP BY doc_id)
-SELECT p.doc_id, CASE WHEN length(b) <= 1200 AND length(b) - length(replace(b, chr(10), '')) < 4 THEN b
-  ELSE substr(coalesce(t, array_to_string(s, ' ')), 1, 1200) END AS summary
-FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM parts) p LEFT JOIN told USING (doc_id)
-"""
-)
+SUMMARIES = summary_sql("told", "documents", "doc_id")
+
+
+@query(f"WITH {SUMMARIES} SELECT doc_id, summary FROM told")
 def extractive_summary(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", content.summary("text").alias("summary"))
 
@@ -255,9 +245,9 @@ def chunk_context_header(spark, sf_dir):
     return content.chunk_rows(documents(spark, sf_dir)).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), T.with_header(head, F.col("chunk_text")).alias("chunk"))
 
 
-@query(f"WITH {KEYWORDS}, k AS (SELECT doc_id, string_agg(token, ', ' ORDER BY rank) AS k FROM ranked WHERE rank <= 8 GROUP BY doc_id) SELECT doc_id, regexp_replace('Title: ' || doc_id || '.txt' || chr(10) || 'Location: ' || source || chr(10) || substr(text, 1, 1200) || coalesce(chr(10) || 'Keywords: ' || k, ''), '\\s+$', '') AS record FROM documents LEFT JOIN k USING (doc_id)")
+@query(f"WITH {SUMMARIES}, {KEYWORDS}, k AS (SELECT doc_id, string_agg(token, ', ' ORDER BY rank) AS k FROM ranked WHERE rank <= 8 GROUP BY doc_id) SELECT doc_id, regexp_replace('Title: ' || doc_id || '.txt' || chr(10) || 'Location: ' || source || CASE WHEN summary <> '' THEN chr(10) || summary ELSE '' END || coalesce(chr(10) || 'Keywords: ' || k, ''), '\\s+$', '') AS record FROM documents JOIN told USING (doc_id) LEFT JOIN k USING (doc_id)")
 def summary_record_text(spark, sf_dir):
-    made = T.summary_record(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("source"), F.lit(""), F.substring("text", 1, 1200), content.keywords("text"))
+    made = T.summary_record(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("source"), F.lit(""), content.summary("text"), content.keywords("text"))
     return documents(spark, sf_dir).select("doc_id", made.alias("record"))
 
 
@@ -320,7 +310,7 @@ def folder_ancestors(spark, sf_dir):
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = readers.html_text("html")
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri"), readers.html_title("html").alias("title"), T.folder_of("url").alias("folder"), F.substring(text, 1, 300).alias("summary"), F.col("page_id").alias("seq"))
+    return spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri"), readers.html_title("html").alias("title"), T.folder_of("url").alias("folder"), content.summary(text).alias("summary"), F.col("page_id").alias("seq"))
 
 
 MEMBERS = f"""{FOLDERS}, member AS (
@@ -337,25 +327,30 @@ def folder_rollup_counts(spark, sf_dir):
 _TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(
-    f"""
-WITH {MEMBERS}, n AS (SELECT key, count(*) AS t, count(*) FILTER (WHERE direct) AS d, count(DISTINCT child) AS s FROM member GROUP BY key),
-page AS (SELECT page_id, CASE WHEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) <> '' THEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) ELSE url END AS name, substr({_TEXT}, 1, 300) AS summary FROM pages),
+FOLDER_TEXTS = f"""{MEMBERS}, n AS (SELECT key, count(*) AS t, count(*) FILTER (WHERE direct) AS d, count(DISTINCT child) AS s FROM member GROUP BY key),
+body AS (SELECT page_id, {_TEXT} AS text FROM pages), {summary_sql("brief", "body", "page_id")},
+page AS (SELECT page_id, CASE WHEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) <> '' THEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) ELSE url END AS name, summary FROM pages JOIN brief USING (page_id)),
 nth AS (SELECT key, name, summary, row_number() OVER (PARTITION BY key ORDER BY page_id) AS i FROM member JOIN page USING (page_id)),
 listed AS (SELECT key, string_agg(name, ', ' ORDER BY i) FILTER (WHERE i <= 8) AS names, string_agg('- ' || name || ': ' || substr(summary, 1, 240), chr(10) ORDER BY i) FILTER (WHERE i <= 30) AS lines FROM nth GROUP BY key),
-sub AS (SELECT key, string_agg(string_split(child, '/')[-1], ', ' ORDER BY child) FILTER (WHERE i <= 12) AS subs FROM (SELECT key, child, row_number() OVER (PARTITION BY key ORDER BY child) AS i FROM (SELECT DISTINCT key, child FROM member WHERE child IS NOT NULL)) GROUP BY key)
-SELECT key, 'Folder: ' || key || chr(10) || 'Holds ' || t || ' document(s) in total (' || d || ' directly, across ' || s || ' sub-folder(s)).' || chr(10)
+sub AS (SELECT key, string_agg(string_split(child, '/')[-1], ', ' ORDER BY child) FILTER (WHERE i <= 12) AS subs FROM (SELECT key, child, row_number() OVER (PARTITION BY key ORDER BY child) AS i FROM (SELECT DISTINCT key, child FROM member WHERE child IS NOT NULL)) GROUP BY key),
+base AS (SELECT key, t, s, 'Folder: ' || key || chr(10) || 'Holds ' || t || ' document(s) in total (' || d || ' directly, across ' || s || ' sub-folder(s)).' || chr(10)
   || coalesce('Sub-folders: ' || subs || chr(10), '') || 'Key documents: ' || names || chr(10) || chr(10) || 'Contents:' || chr(10) || lines AS text
-FROM n JOIN listed USING (key) LEFT JOIN sub USING (key)
-"""
-)
+  FROM n JOIN listed USING (key) LEFT JOIN sub USING (key))"""
+
+
+@query(f"WITH {FOLDER_TEXTS} SELECT key, text FROM base")
 def folder_rollup_text(spark, sf_dir):
     return rollups.folder_rollups(_pages(spark, sf_dir), summarize=False).select("key", "text")
 
 
+@query(f"WITH {FOLDER_TEXTS}, {summary_sql('short', 'base', 'key')} SELECT key, 'Folder: ' || key || ' (' || t || ' documents, ' || s || ' sub-folders)' || chr(10) || summary AS text FROM base JOIN short USING (key)")
+def folder_rollup_summary(spark, sf_dir):
+    return rollups.folder_rollups(_pages(spark, sf_dir)).select("key", "text")
+
+
 def _sectioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = documents(spark, sf_dir)
-    items = docs.select("doc_id", F.concat(F.lit("text://"), F.col("doc_id").cast("string")).alias("uri"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("title"), F.substring("text", 1, 400).alias("summary"), F.col("doc_id").alias("seq"))
+    items = docs.select("doc_id", F.concat(F.lit("text://"), F.col("doc_id").cast("string")).alias("uri"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("title"), content.summary("text").alias("summary"), F.col("doc_id").alias("seq"))
     sections = docs.select(F.sha2("lang", 256).alias("section_id"), F.col("lang").alias("name")).distinct()
     return sections, docs.select(F.sha2("lang", 256).alias("section_id"), "doc_id"), items
 
@@ -366,23 +361,47 @@ def section_membership(spark, sf_dir):
     return member.groupBy("doc_id").agg(F.sort_array(F.collect_set("section_id")).alias("section_ids"))
 
 
-@query(
-    """
-WITH nth AS (SELECT lang, text, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
-SELECT sha256(lang) AS key, 'Section: ' || lang || chr(10) || n || ' document(s).' || chr(10) || chr(10) || 'Contents:' || chr(10) || string_agg('- ' || doc_id || '.txt: ' || substr(text, 1, 300), chr(10) ORDER BY i) AS text
-FROM nth WHERE i <= 50 GROUP BY lang, n
-"""
-)
+SECTION_TEXTS = f"""{SUMMARIES}, nth AS (SELECT lang, summary, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents JOIN told USING (doc_id)),
+base AS (SELECT sha256(lang) AS key, lang, n, 'Section: ' || lang || chr(10) || n || ' document(s).' || chr(10) || chr(10) || 'Contents:' || chr(10) || string_agg('- ' || doc_id || '.txt: ' || substr(summary, 1, 300), chr(10) ORDER BY i) AS text
+  FROM nth WHERE i <= 50 GROUP BY lang, n)"""
+
+
+@query(f"WITH {SECTION_TEXTS} SELECT key, text FROM base")
 def section_rollup(spark, sf_dir):
     return rollups.section_rollups(*_sectioned(spark, sf_dir), summarize=False).select("key", "text")
 
 
-@query()
+@query(f"WITH {SECTION_TEXTS}, {summary_sql('short', 'base', 'key')} SELECT key, 'Section: ' || lang || ' (' || n || ' documents)' || chr(10) || summary AS text FROM base JOIN short USING (key)")
+def section_rollup_summary(spark, sf_dir):
+    return rollups.section_rollups(*_sectioned(spark, sf_dir)).select("key", "text")
+
+
+def _bare_sql(html: str) -> str:
+    for tag in ("nav", "footer", "header", "noscript"):
+        html = rf"regexp_replace({html}, '<{tag}\b[^>]*>.*?</{tag}>', ' ', 'gis')"
+    return html
+
+
+@query(
+    rf"""
+WITH RECURSIVE site AS (
+  SELECT n, 'https://site.example/' || CASE WHEN n = 0 THEN '' ELSE 'p/' || n END AS url, html || '<a href="/p/' || (2 * n + 1) || '">left</a> <a href="p/' || (2 * n + 2) || '">away</a> <a href="/p/' || (2 * n + 2) || '/#top">right</a>' AS html
+  FROM (SELECT row_number() OVER (ORDER BY page_id) - 1 AS n, html FROM pages)),
+step AS (SELECT n AS a, unnest([2 * n + 1, 2 * n + 2] || CASE WHEN n = 0 THEN [2] ELSE [] END) AS b FROM site),
+reach AS (SELECT 0::BIGINT AS n, 0 AS depth UNION SELECT b, depth + 1 FROM reach JOIN step ON a = n WHERE depth < 6 AND b IN (SELECT n FROM site)),
+page AS (SELECT url, CASE WHEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) <> '' THEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) ELSE url END AS title,
+  substr({_TEXT.replace('(html,', '(' + _bare_sql('html') + ',')}, 1, {connectors.PAGE_CHARS}) AS text, min(depth)::BIGINT AS depth FROM reach JOIN site USING (n) GROUP BY ALL)
+SELECT url, title, text, depth FROM page WHERE text <> '' ORDER BY depth, url LIMIT 100
+"""
+)
 def site_crawl(spark, sf_dir):
-    """Crawl from the first page through its site, over the table of pages."""
-    pages = table(spark, sf_dir, "pages")
-    start = pages.orderBy("page_id").first()["url"]
-    return connectors.crawl(pages, start, from_root=False)
+    """A crawl of the pages as one site, in which each page links to two further ones."""
+    n = F.row_number().over(Window.orderBy("page_id")) - 1
+    anchors = F.concat(F.lit('<a href="/p/'), (2 * F.col("n") + 1).cast("string"), F.lit('">left</a> <a href="p/'), (2 * F.col("n") + 2).cast("string"), F.lit('">away</a> <a href="/p/'), (2 * F.col("n") + 2).cast("string"), F.lit('/#top">right</a>'))
+    numbered = table(spark, sf_dir, "pages").select("page_id").withColumn("n", n)
+    url = F.concat(F.lit("https://site.example/"), F.when(F.col("n") == 0, "").otherwise(F.concat(F.lit("p/"), F.col("n").cast("string"))))
+    pages = table(spark, sf_dir, "pages").join(numbered, "page_id").select(url.alias("url"), F.concat("html", anchors).alias("html"))
+    return connectors.crawl(pages, "https://site.example/", from_root=False).withColumn("depth", F.col("depth").cast("bigint"))
 
 
 # -- profiles ---------------------------------------------------------------------
@@ -402,47 +421,68 @@ def modality_classify(spark, sf_dir):
     return p.select("doc_id", "p.modality", "p.description")
 
 
+#: Every column of the tables, and the columns that order their rows.
 _PROFILED = {
-    "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
-    "orders": ("o_orderkey", ["o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]),
-    "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]),
-    "events": ("event_id", ["event_id", "ts", "user_id", "event_type", "props"]),
+    "region": (["r_regionkey"], ["r_regionkey", "r_name"]),
+    "nation": (["n_nationkey"], ["n_nationkey", "n_name", "n_regionkey"]),
+    "customer": (["c_custkey"], ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    "supplier": (["s_suppkey"], ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    "part": (["p_partkey"], ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+    "orders": (["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
+    "lineitem": (["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]),
+    "events": (["event_id"], ["event_id", "ts", "user_id", "event_type", "value", "props"]),
 }
 
 
 def _types(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Votes of all values of all columns, in one pass and one shuffle."""
+    """Votes of all values of all columns, in one pass that shuffles one row a task."""
     columns = _PROFILED[name][1]
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("c")
-    voted = table(spark, sf_dir, name).select(cells).select("c.*").groupBy("column").agg(*content.type_votes("value"))
-    return voted.select(F.lit(name).alias("table_name"), "column", content.voted_type().alias("inferred_type"), "n_values")
+    whole = table(spark, sf_dir, name).select(*[F.col(c).cast("string") for c in columns])
+    votes = whole.agg(*[v.alias(f"{c}/{n}") for c in columns for n, v in zip(content.VOTES, content.type_votes(c))])
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}/{n}`").alias(n) for n in content.VOTES]) for c in columns]))
+    return votes.select(rows).select(F.lit(name).alias("table_name"), "column", content.voted_type().alias("inferred_type"), "n_values")
 
 
 _VOTES = ", ".join(f"count(*) FILTER (WHERE regexp_matches(v, '{p.replace('(?i)', '')}'{', ' + repr('i') if p.startswith('(?i)') else ''})) AS is_{n}" for n, p in content.TYPE_TESTS.items())
+_TYPE = "CASE " + " ".join(f"WHEN is_{n} / n_values >= 0.8 THEN '{n}'" for n in content.TYPE_TESTS) + " WHEN mean > 40 THEN 'text' ELSE 'category' END"
 _CELLS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS \"column\", trim({c}::VARCHAR) AS v FROM {t}" for t, (_, cs) in _PROFILED.items() for c in cs)
 
 
-@query(f"WITH cells AS ({_CELLS}), votes AS (SELECT table_name, \"column\", count(*) AS n_values, avg(length(v)) AS mean, {_VOTES} FROM cells WHERE v <> '' GROUP BY ALL) SELECT table_name, \"column\", CASE " + " ".join(f"WHEN is_{n} / n_values >= 0.8 THEN '{n}'" for n in content.TYPE_TESTS) + " WHEN mean > 40 THEN 'text' ELSE 'category' END AS inferred_type, n_values FROM votes")
+@query(f"WITH cells AS ({_CELLS}), votes AS (SELECT table_name, \"column\", count(*) AS n_values, avg(length(v)) AS mean, {_VOTES} FROM cells WHERE v <> '' GROUP BY ALL) SELECT table_name, \"column\", {_TYPE} AS inferred_type, n_values FROM votes")
 def column_type_inference(spark, sf_dir):
-    parts = [_types(spark, sf_dir, name) for name in _PROFILED]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [_types(spark, sf_dir, name) for name in _PROFILED])
+
 
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connectors.chained(connectors.sampled_table(table(spark, sf_dir, t).select(*cs), t, k, "db") for t, (k, cs) in _PROFILED.items())
 
-@query(" UNION ALL ".join(f"SELECT 'sql://db/{t}' AS uri, 'Table: {t} (~' || (SELECT count(*) FROM {t}) || ' rows)' AS title, '{','.join(cs)}' || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY k) || chr(13) || chr(10) AS data FROM (SELECT {k} AS k, concat_ws(',', {', '.join(f'{c}::VARCHAR' if c != 'props' else f'chr(34) || replace({c}, chr(34), repeat(chr(34), 2)) || chr(34)' for c in cs)}) AS line FROM {t} ORDER BY {k} LIMIT 10)" for t, (k, cs) in _PROFILED.items()))
+
+def _csv_sql(column: str) -> str:
+    return f"coalesce({column}::VARCHAR, '')" if column != "props" else f"chr(34) || replace({column}, chr(34), repeat(chr(34), 2)) || chr(34)"
+
+
+@query(" UNION ALL ".join(f"SELECT 'sql://db/{t}' AS uri, 'Table: {t} (~' || (SELECT count(*) FROM {t}) || ' rows)' AS title, '{','.join(cs)}' || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY {', '.join(k)}) || chr(13) || chr(10) AS data FROM (SELECT {', '.join(k)}, concat_ws(',', {', '.join(map(_csv_sql, cs))}) AS line FROM {t} ORDER BY {', '.join(k)} LIMIT 10)" for t, (k, cs) in _PROFILED.items()))
 def table_assets(spark, sf_dir):
     """Tables as sampled assets, as a database connector gives them."""
-    made = connectors.chained(connectors.sampled_table(table(spark, sf_dir, t).select(*cs), t, [k], "db") for t, (k, cs) in _PROFILED.items())
-    return made.select("uri", "title", F.decode("data", "UTF-8").alias("data"))
+    return _sampled(spark, sf_dir).select("uri", "title", F.decode("data", "UTF-8").alias("data"))
 
 
-@query()
+_SAMPLE = " UNION ALL ".join(f"SELECT '{t}' AS t, {i} AS i, '{c}' AS c, trim(v::VARCHAR) AS v FROM (SELECT {c} AS v FROM {t} ORDER BY {', '.join(k)} LIMIT 10)" for t, (k, cs) in _PROFILED.items() for i, c in enumerate(cs))
+
+
+@query(
+    f"""
+WITH cells AS ({_SAMPLE}),
+votes AS (SELECT t, i, c, count(*) AS n_rows, count(*) FILTER (WHERE v <> '') AS n_values, avg(length(v)) FILTER (WHERE v <> '') AS mean, {_VOTES} FROM cells GROUP BY ALL),
+typed AS (SELECT t, i, c, n_rows, CASE WHEN n_values = 0 THEN 'empty' ELSE {_TYPE} END AS kind FROM votes)
+SELECT 'sql://db/' || t AS uri, 'tabular' AS modality, max(n_rows) AS row_count,
+  'A table of ' || max(n_rows) || ' records with ' || count(*) || ' columns (' || string_agg(c, ', ' ORDER BY i) FILTER (WHERE i < 10) || ').' AS description, list(c || ':' || kind ORDER BY i) AS types
+FROM typed GROUP BY t
+"""
+)
 def table_profile(spark, sf_dir):
     """Profiles of the same assets, as the build makes them."""
-    made = connectors.chained(connectors.sampled_table(table(spark, sf_dir, t).select(*cs), t, [k], "db") for t, (k, cs) in _PROFILED.items())
-    read = made.withColumn("blocks", readers.parsed("name", "data"))
+    read = _sampled(spark, sf_dir).withColumn("blocks", readers.parsed("name", "data"))
     return read.select("uri", content.profile("blocks", "media_type").alias("p")).select("uri", "p.modality", "p.row_count", "p.description", F.transform("p.columns", lambda c: F.concat(c["name"], F.lit(":"), c["inferred_type"])).alias("types"))
 
 

@@ -25,6 +25,24 @@ counted AS (SELECT doc_id, token, count(*) AS n, min(pos) AS first FROM placed W
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM counted)
 """
 
+def summary_sql(name: str, relation: str, key: str) -> str:
+    """Extractive summaries (key, summary) of the texts of a relation, as tables of a WITH."""
+    n = name
+    return rf"""
+{n}_p AS (SELECT {key}, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS s FROM {relation}),
+{n}_w AS (SELECT {key}, token, count(*) AS w FROM (SELECT {key}, unnest({tokens_sql('text', 'keyword')}) AS token FROM {relation}) WHERE token NOT IN ({stop_list()}) GROUP BY ALL),
+{n}_e AS (SELECT {key}, unnest(range(len(s))) AS position, unnest(s) AS sentence FROM {n}_p WHERE len(s) > 6),
+{n}_t AS (SELECT {key}, position, unnest({tokens_sql('sentence', 'keyword')}) AS token FROM {n}_e),
+{n}_s AS (SELECT t.{key}, t.position, sum(coalesce(w, 0))::DOUBLE / sqrt(count(*)) AS score FROM {n}_t t LEFT JOIN {n}_w USING ({key}, token) GROUP BY ALL),
+{n}_b AS (SELECT {key}, position FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, position) AS r FROM {n}_s WHERE {key} IN (SELECT {key} FROM {n}_w)) WHERE r <= 6
+  UNION ALL SELECT {key}, position FROM {n}_e WHERE position < 6 AND {key} NOT IN (SELECT {key} FROM {n}_w)),
+{n}_o AS (SELECT {key}, string_agg(sentence, ' ' ORDER BY position) AS t FROM {n}_e JOIN {n}_b USING ({key}, position) GROUP BY {key}),
+{n} AS (SELECT p.{key}, CASE WHEN length(b) <= 1200 AND length(b) - length(replace(b, chr(10), '')) < 4 THEN b
+  ELSE substr(coalesce(t, array_to_string(s, ' ')), 1, 1200) END AS summary
+  FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM {n}_p) p LEFT JOIN {n}_o USING ({key}))
+"""
+
+
 NAMED = "named AS (SELECT *, doc_id || '.txt' AS title FROM documents)"
 
 
