@@ -1,7 +1,7 @@
 import pytest
 
 from oracle import same
-from vellum.plans import catalogue
+from vellum.plans import catalogue, holdings  # noqa: F401  (registers its queries)
 
 SMALL = "/root/testdata/sf0.001"
 
