@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import classifier, decontaminate, mixing, sharding, simhash
 from vellum.llm.shared import drop_written, settled, table
+from vellum.session import spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -66,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, made = table(spark, sf_dir, "documents"), False
+    docs, made = spread(table(spark, sf_dir, "documents")), False
     for _, stage in STAGES:
         kept = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
         if made:
