@@ -26,6 +26,7 @@ probable classes the first of CLASSES wins.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,25 +125,41 @@ def scores_of(raw: np.ndarray, offsets: np.ndarray, logits: np.ndarray, bias: np
     return z / z.sum(axis=1, keepdims=True)
 
 
-def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text, ascending, and their shares of all its features."""
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text, ascending, and how often it has each."""
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     w = words_of(raw, np.array([0, len(raw)]))
     times = np.bincount(w.word, minlength=len(w.first) - 1)
     bucket = np.concatenate([w.feature, w.pair])
-    weight = np.concatenate([np.repeat(times, np.diff(w.first)), np.ones(len(w.pair))])
+    weight = np.concatenate([np.repeat(times, np.diff(w.first)), np.ones(len(w.pair), times.dtype)])
     order = np.argsort(bucket)
     bucket, weight = bucket[order], weight[order]
     new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    total = np.add.reduceat(weight, new) if len(new) else weight
-    return bucket[new].astype(np.int32), (total / max(total.sum(), 1)).astype(np.float32)
+    return bucket[new].astype(np.int32), np.add.reduceat(weight, new) if len(new) else weight
+
+
+def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text, ascending, and their shares of all its features."""
+    bucket, count = counts_of(text)
+    return bucket, (count / max(count.sum(), 1)).astype(np.float32)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Small whole numbers, byte plane by byte plane, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data.as_buffer()), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 @tidy
-def _share_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = [shares_of(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in pairs], pa.binary()), pa.array([x.tobytes() for _, x in pairs], pa.binary()), batch.column(1)], ["bucket", "share", "label"])
+        pairs = [counts_of(t.as_py()) for t in batch.column(0)]
+        steps = [_packed(np.diff(b, prepend=0)) for b, _ in pairs]
+        yield pa.RecordBatch.from_arrays([pa.array(steps, pa.binary()), pa.array([_packed(n) for _, n in pairs], pa.binary()), batch.column(1)], ["step", "count", "label"])
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], classes: int = len(CLASSES), epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +238,11 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    rows = training_rows(docs, labels, limit).mapInArrow(_share_batches, "bucket binary, share binary, label int").toArrow()
+    rows = training_rows(docs, labels, limit).mapInArrow(_count_batches, "step binary, count binary, label int").toArrow()
     if not rows.num_rows:
         return np.zeros((BUCKETS, len(CLASSES)), np.float32), np.array([1.0, 0.0, 0.0], np.float32)
-    parts = zip(rows["bucket"], rows["share"])
-    return train([(np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for b, x in parts], rows["label"].to_pylist())
+    examples = []
+    for step, count in zip(rows["step"], rows["count"]):
+        count = _unpacked(count)
+        examples.append((np.cumsum(_unpacked(step), dtype=np.int32), (count / max(count.sum(), 1)).astype(np.float32)))
+    return train(examples, rows["label"].to_pylist())
