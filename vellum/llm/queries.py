@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from vellum.llm import classifier, decontaminate, langid, lines, mixing, repetition, secrets, sharding, simhash, suffixes
 from vellum.llm.shared import table
+from vellum.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -22,7 +27,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row number, shuffled place, shard and slot of every document."""
-    return sharding.assignments(table(spark, sf_dir, "documents"))
+    return sharding.assignments(documents(spark, sf_dir))
 
 
 SQL["op1_feistel_sharding"] = sharding.SHARD_SQL
@@ -31,7 +36,7 @@ SQL["op1_feistel_sharding"] = sharding.SHARD_SQL
 @query
 def op2_cross_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that are spread over many sites."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return lines.without_boilerplate(docs, removed_column="n_removed").drop("source")
 
 
@@ -41,13 +46,13 @@ SQL["op2_cross_site_lines"] = lines.LINE_SQL
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document, exactly or in proximity."""
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 @query
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated n-gram and line characters and the verdict for every document."""
-    return repetition.repetition(table(spark, sf_dir, "documents"))
+    return repetition.repetition(documents(spark, sf_dir))
 
 
 SQL["op4_repetition_coverage"] = repetition.REPETITION_SQL
@@ -56,7 +61,7 @@ SQL["op4_repetition_coverage"] = repetition.REPETITION_SQL
 @query
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of 50 words or more that occurs again, with its document."""
-    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return suffixes.repeated_passages(documents(spark, sf_dir))
 
 
 SQL["op5_repeated_passages"] = suffixes.PASSAGE_SQL
@@ -65,7 +70,7 @@ SQL["op5_repeated_passages"] = suffixes.PASSAGE_SQL
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret that a rule finds in a document."""
-    return secrets.secrets(table(spark, sf_dir, "documents"))
+    return secrets.secrets(documents(spark, sf_dir))
 
 
 SQL["op6_secret_scan"] = secrets.SECRET_SQL
@@ -74,14 +79,14 @@ SQL["op6_secret_scan"] = secrets.SECRET_SQL
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, and what it costs to parse it in it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.training_text(docs)).withColumn("bits", F.round("bits", 6))
 
 
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, probability of being clean and verdict for every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
     return classifier.score(docs, model).withColumn("clean", F.round("clean", 6))
 
@@ -89,13 +94,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of a near-duplicate group, with its group and whether it stays."""
-    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "keep")
+    return simhash.near_duplicate_groups(documents(spark, sf_dir)).select("doc_id", "group_id", "group_size", "keep")
 
 
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repetition of every document in the mix."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     shares = mixing.epochs(mixing.source_sizes(docs))
     return mixing.mixed(docs.select("doc_id", "source"), shares, copy_column="copy")
 
