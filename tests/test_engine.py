@@ -496,3 +496,24 @@ def test_shared_folder_of_the_context_is_respected(spark, tmp_path, monkeypatch)
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Session(Bare(spark.sparkContext), {}))
+
+
+def test_tables_may_live_elsewhere(spark, tmp_path):
+    from vellum.sources.store import SCHEMAS
+
+    class InMemory:
+        def __init__(self):
+            self.tables = {}
+
+        def read(self, name):
+            return spark.createDataFrame(self.tables.get(name, []), SCHEMAS[name])
+
+        def commit(self, tables):
+            self.tables |= {n: [tuple(r) for r in df.select(*spark.createDataFrame([], SCHEMAS[n]).columns).collect()] for n, df in tables.items()}
+
+    home = InMemory()
+    e = Engine.open(spark, str(tmp_path / "none"), store=home)
+    e.add_text("Rivers run to the sea.", "r").build()
+    assert e.search("rivers sea")[0]["title"] == "r.txt" and not (tmp_path / "none").exists()
+    assert {"documents", "versions", "chunks", "records", "rollups"} <= set(home.tables)
+    assert "rivers" in e.records.all_records().where("doc_type = 'file_summary'").first()["terms"]

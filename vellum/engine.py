@@ -15,9 +15,9 @@ from vellum.config import CatalogConfig
 from vellum.operators import indexing, models, rollups, search
 from vellum.operators.memory import ConversationMemory
 from vellum.operators.models import Embedder, Summarizer
-from vellum.session import saved, shared_folder
+from vellum.session import remove, saved, shared_folder
 from vellum.sources import connectors
-from vellum.sources.backends import Catalogue, FlatIndexRecords, RecordStore, SnapshotRecords, keeps_editions
+from vellum.sources.backends import Catalogue, FlatIndexRecords, RecordStore, SnapshotRecords, TableStore, keeps_editions
 from vellum.sources.store import SCHEMAS, Store, merge_records, upsert_documents, upsert_versions, upserted
 
 Source = Callable[[], DataFrame]
@@ -29,18 +29,19 @@ class Engine:
 
     `embed` replaces the hashing embedding by another expression from text to
     array<float>, `summarize` the extractive summaries by one from title and text,
-    and `records` the snapshots of records by another store.  Earlier editions are
+    `records` the snapshots of records by another store, and `store` the snapshots
+    of all tables by another home for them.  Earlier editions are
     kept unless `archives=False` or the store can't; then they are deleted.
     `config.backend` chooses among the stores that come along.
     """
 
-    def __init__(self, spark: SparkSession, config: CatalogConfig = CatalogConfig(), embed: Embedder | None = None, archives: bool = True, summarize: Summarizer | None = None, records: RecordStore | None = None) -> None:
+    def __init__(self, spark: SparkSession, config: CatalogConfig = CatalogConfig(), embed: Embedder | None = None, archives: bool = True, summarize: Summarizer | None = None, records: RecordStore | None = None, store: TableStore | None = None) -> None:
         if embed is None and config.embedding_provider == "openai":
             embed = models.model_embedder(models.openai_request(config.embedding_model, config.api_key))
         if summarize is None and config.summarizer_provider == "openai":
             summarize = models.model_summarizer(models.openai_complete(config.summarizer_model, config.api_key), config.summary_max_chars, config.summary_input_chars)
         self.spark, self.config, self.embed, self.summarize = spark, config, embed, summarize
-        self.store, self.memory, self.sources = Store(spark, config.root), ConversationMemory(), []
+        self.store, self.memory, self.sources = store or Store(spark, config.root), ConversationMemory(), []
         self.records = records or {"snapshots": SnapshotRecords, "flat": FlatIndexRecords}[config.backend](self.store)
         self.catalogue, self.own_records = Catalogue(spark, self.store), records is None
         self.archives = archives and keeps_editions(self.records)
@@ -49,8 +50,8 @@ class Engine:
         shared_folder(spark)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, embed: Embedder | None = None, summarize: Summarizer | None = None, records: RecordStore | None = None, archives: bool = True, **settings) -> Engine:
-        return cls(spark, replace(CatalogConfig(root=root), **settings), embed, archives, summarize, records)
+    def open(cls, spark: SparkSession, root: str, embed: Embedder | None = None, summarize: Summarizer | None = None, records: RecordStore | None = None, store: TableStore | None = None, archives: bool = True, **settings) -> Engine:
+        return cls(spark, replace(CatalogConfig(root=root), **settings), embed, archives, summarize, records, store)
 
     def __enter__(self) -> Engine:
         return self
@@ -133,7 +134,7 @@ class Engine:
                 self._commit(reduce(DataFrame.unionByName, staged), counts)
         finally:
             for path in paths:
-                self.store.remove(path)
+                remove(self.spark, path)
         if rebuild_rollups:
             self.rebuild_rollups()
         return counts

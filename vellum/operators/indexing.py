@@ -9,10 +9,10 @@ from vellum.config import CatalogConfig
 from vellum.functions import text as T
 from vellum.operators import content, vectors
 from vellum.operators.models import Embedder, Summarizer, extractive
-from vellum.operators.search import CHUNK, FOLDER, SECTION, SUMMARY
+from vellum.operators.search import CHUNK, FOLDER, SECTION, SUMMARY, haystack
 from vellum.sources import readers
 
-RECORD = ("id", "doc_type", "doc_id", "text", "title", "uri", "source_id", "version_id", "location", "is_current", "section_ids", "tags", "vector")
+RECORD = ("id", "doc_type", "doc_id", "text", "title", "uri", "source_id", "version_id", "location", "is_current", "section_ids", "tags", "vector", "terms")
 
 
 def identified(assets: DataFrame) -> DataFrame:
@@ -71,7 +71,13 @@ def records_of(docs: DataFrame, membership: DataFrame, config: CatalogConfig = C
 
     each = known.select("doc_id", "title", "uri", "source_id", "version_id", "section_ids", "is_current", F.explode(F.concat(F.array(brief), F.transform("chunks", part))).alias("r"))
     flat = each.select("r.id", "r.doc_type", "doc_id", "r.text", "title", "uri", "source_id", "version_id", "r.location", "is_current", "section_ids", "r.tags")
-    return flat.withColumn("vector", embed(F.col("text")) if embed else vectors.embedding("text", config.embedding_dim)).select(*RECORD)
+    return _searchable(flat, config, embed)
+
+
+def _searchable(records: DataFrame, config: CatalogConfig, embed: Embedder | None) -> DataFrame:
+    """Records with their vectors and the distinct terms that lexical search meets."""
+    vector = embed(F.col("text")) if embed else vectors.embedding("text", config.embedding_dim)
+    return records.withColumn("vector", vector).withColumn("terms", vectors.distinct_tokens(haystack())).select(*RECORD)
 
 
 def rollup_records(rollups: DataFrame, config: CatalogConfig = CatalogConfig(), embed: Embedder | None = None) -> DataFrame:
@@ -80,7 +86,7 @@ def rollup_records(rollups: DataFrame, config: CatalogConfig = CatalogConfig(),
     flat = rollups.where(F.col("doc_type").isin(FOLDER, SECTION)).select(
         F.col("rollup_id").alias("id"), "doc_type", F.col("rollup_id").alias("doc_id"), "text", F.concat(F.lit("["), "kind", F.lit(" roll-up] "), name).alias("title"), F.col("key").alias("uri"), F.lit("").alias("source_id"), F.lit("").alias("version_id"), F.col("key").alias("location"), F.lit(True).alias("is_current"), none.alias("section_ids"), none.alias("tags")
     )
-    return flat.withColumn("vector", embed(F.col("text")) if embed else vectors.embedding("text", config.embedding_dim)).select(*RECORD)
+    return _searchable(flat, config, embed)
 
 
 def newest(rows: DataFrame, key: str, *order: Column) -> DataFrame:

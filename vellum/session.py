@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies; none there is fine."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut lineage: the rows live in the shared folder, so lost executors don't matter."""
     shared_folder(df.sparkSession)

@@ -14,7 +14,19 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import search
-from vellum.sources.store import SCHEMAS, Store, deleted, demoted, upsert_documents, upsert_versions, upserted, with_flags
+from vellum.sources.store import SCHEMAS, deleted, demoted, upsert_documents, upsert_versions, upserted, with_flags
+
+
+class TableStore(Protocol):
+    """Where the catalogue's tables live, by their names in `store.SCHEMAS`.
+
+    `read` gives an empty table for a name that was never committed; `commit`
+    replaces all tables that it is given, in one step.
+    """
+
+    def read(self, name: str) -> DataFrame: ...
+
+    def commit(self, tables: dict[str, DataFrame]) -> None: ...
 
 
 class RecordStore(Protocol):
@@ -51,7 +63,7 @@ def keeps_editions(store: object) -> bool:
 class SnapshotRecords(RecordStore):
     """Records in the catalogue's snapshots; each verb is one commit."""
 
-    def __init__(self, store: Store) -> None:
+    def __init__(self, store: TableStore) -> None:
         self.store = store
 
     def _commit(self, records: DataFrame) -> None:
@@ -105,7 +117,7 @@ class FlatIndexRecords(SnapshotRecords):
 class Catalogue:
     """Documents, editions, chunks and sections of a catalogue, row by row or as tables."""
 
-    def __init__(self, spark: SparkSession, store: Store) -> None:
+    def __init__(self, spark: SparkSession, store: TableStore) -> None:
         self.spark, self.store = spark, store
 
     def _rows(self, name: str, rows: list[tuple]) -> DataFrame:

@@ -20,7 +20,7 @@ SCHEMAS = {
     "chunks": "chunk_id string, doc_id string, version_id string, idx int, text string, heading string, location string, token_count int, text_hash string",
     "sections": "section_id string, name string, description string, parent_id string",
     "membership": "doc_id string, section_id string, confidence double, rationale string",
-    "records": "id string, doc_type string, doc_id string, text string, title string, uri string, source_id string, version_id string, location string, is_current boolean, section_ids array<string>, tags array<string>, vector array<float>",
+    "records": "id string, doc_type string, doc_id string, text string, title string, uri string, source_id string, version_id string, location string, is_current boolean, section_ids array<string>, tags array<string>, vector array<float>, terms array<string>",
 }
 #: Roll-ups are records, too, but are made anew by every build.
 SCHEMAS["rollups"] = SCHEMAS["records"]
@@ -72,10 +72,6 @@ class Store:
         overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, to, overwrite)
 
-    def remove(self, path: str) -> None:
-        at, fs = self._fs(path)
-        fs.delete(at, True)
-
     def vacuum(self) -> None:
         """Delete snapshots that the pointer no longer names."""
         kept = set(self.pointer().values())
