@@ -151,8 +151,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_column:
     plain = docs.toDF(*names).withColumn("key", key_of(names)).withColumn("id", F.col(names[docs.columns.index(id_column)]))
     rows, n = numbered(plain.select("id", "key"))
     whole = plain.groupBy("key").agg(F.first(F.struct(*names)).alias("row"))
-    met = whole.join(rows.select("key", "first", "n"), "key").select("row.*", _each_number().alias("number"))
-    place = met.withColumn("place", _place(F.col("number"), n, seed)).withColumn("shard", F.col("place") % shards).withColumn("slot", F.expr(f"place div {shards}"))
+    # Places are found before the rows are there, so that no text waits for Python.
+    numbers = rows.select("key", _each_number().alias("number")).select("key", _place(F.col("number"), n, seed).alias("place"))
+    met = whole.join(numbers, "key").select("row.*", "place")
+    place = met.withColumn("shard", F.col("place") % shards).withColumn("slot", F.expr(f"place div {shards}"))
     slots = max(-(-n // shards), 1)
     # At least as many tasks as other shuffles have.
     writers = max(-(-slots // task_rows), -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
