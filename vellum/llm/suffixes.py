@@ -21,8 +21,8 @@ common prefixes have `MIN_WORDS` words or more form a run of the suffix array;
 all places of a run are marked if it has more than one.
 
 An anchor at more than `HOT` places, as in a licence that a third of all documents
-hold, isn't gathered in one task: each of its places gives the hashes of the up to
-31 windows of 50 words that hold it, and windows that occur twice are marked by an
+hold, isn't gathered in one task: each of its places gives the hashes of the windows
+of 50 words whose own anchor it is, and windows that occur twice are marked by an
 aggregation, which finds exactly what a suffix array of them would.
 
 Marked places of a text are joined where they overlap or touch, and go to its owners.
@@ -67,14 +67,29 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(out[: len(x) - width + 1], out[width - have : width - have + len(x) - width + 1])
 
 
+def _ordered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each 20 words, and the same with its low bits made a place.
+
+    Equal hashes in a window are told apart by place, so one is taken.
+    """
+    grams, low = gram_hashes(hashes, ANCHOR), U64((1 << 24) - 1)
+    return grams, (grams & ~low) | (low - (np.arange(len(grams), dtype=U64) & low))
+
+
+def window_anchors(hashes: np.ndarray) -> np.ndarray:
+    """Token index of the anchor of the 50 words from each token on."""
+    if len(hashes) < MIN_WORDS:
+        return np.zeros(0, np.int64)
+    low, begin = (1 << 24) - 1, np.arange(len(hashes) - MIN_WORDS + 1)
+    place = low - (_sliding(_ordered(hashes)[1], _SPAN, np.minimum) & U64(low)).astype(np.int64)
+    return begin + ((place - begin) & low)
+
+
 def anchors(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token index and hash of every anchor."""
     if len(hashes) < MIN_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    grams = gram_hashes(hashes, ANCHOR)
-    # Equal hashes in a window are told apart by place, so one is taken.
-    low = U64((1 << 24) - 1)
-    value = (grams & ~low) | (low - (np.arange(len(grams), dtype=U64) & low))
+    grams, value = _ordered(hashes)
     least = _sliding(value, _SPAN, np.minimum)
     least[row[: len(least)] != row[MIN_WORDS - 1 :]] = 0
     padded = np.concatenate([np.zeros(_REACH, U64), least, np.zeros(_REACH, U64)])
@@ -124,10 +139,13 @@ def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, row, at, _, first, last, t in _cut(batch):
+            # Each window has one anchor of its own, the least hash in it, and counts there.
+            own = np.zeros(len(t.hash) + 1, dtype=bool)
+            own[at] = True
+            least = window_anchors(t.hash)
+            start = np.flatnonzero((t.row[: len(least)] == t.row[MIN_WORDS - 1 :]) & own[least]) if len(least) else least
+            owner = t.row[start]
             grams = gram_hashes(t.hash, MIN_WORDS)
-            start = (at[:, None] - np.arange(_SPAN)).ravel()
-            inside = (start >= np.repeat(first, _SPAN)) & (start + MIN_WORDS <= np.repeat(last, _SPAN))
-            start, owner = start[inside], np.repeat(row, _SPAN)[inside]
             index = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(grams[start].view(np.int64)), part.column(0).take(index), part.column(2).take(index), part.column(3).take(index), pa.array(start - t.first[owner])], ["window", "key", "a", "b", "start"])
 
@@ -347,10 +365,13 @@ def _passages(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     pieces = cut.where("not hot").drop("hot").mapInArrow(_piece_batches, f"anchor bigint, key binary, a {kind}, b {kind}, start bigint, words binary")
     spans = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_span_batches, f"key binary, start bigint, end bigint, one {kind}, two {kind}")
     if not lists.where("hot").isEmpty():
-        windows = written(cut.where("hot").drop("hot").mapInArrow(_window_batches, f"window bigint, key binary, a {kind}, b {kind}, start bigint").distinct())
-        one = windows.groupBy("window").agg(F.min("a").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
-        two = windows.join(one, "window").groupBy("window").agg(F.min(F.when(F.col("a") == F.col("one"), F.col("b")).otherwise(F.col("a"))).alias("two"))
-        hot = windows.join(one, "window").join(two, "window")
+        windows = written(cut.where("hot").drop("hot").mapInArrow(_window_batches, f"window bigint, key binary, a {kind}, b {kind}, start bigint"))
+        # Rows that repeat give the same place again, which doesn't make it two.
+        place = F.xxhash64("key", "start")
+        one = windows.groupBy("window").agg(F.min("a").alias("one"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("window", "one")
+        marked = windows.join(one, "window")
+        two = marked.groupBy("window").agg(F.min(F.when(F.col("a") == F.col("one"), F.col("b")).otherwise(F.col("a"))).alias("two"))
+        hot = marked.join(two, "window")
         spans = spans.unionByName(hot.select("key", "start", (F.col("start") + MIN_WORDS).alias("end"), "one", "two"))
     # A text with several owners is a passage as a whole.
     sizes = found.groupBy("key").agg(F.min("n_words").alias("n_words"))
