@@ -365,7 +365,8 @@ def _passages(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     pieces = cut.where("not hot").drop("hot").mapInArrow(_piece_batches, f"anchor bigint, key binary, a {kind}, b {kind}, start bigint, words binary")
     spans = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_span_batches, f"key binary, start bigint, end bigint, one {kind}, two {kind}")
     if not lists.where("hot").isEmpty():
-        windows = written(cut.where("hot").drop("hot").mapInArrow(_window_batches, f"window bigint, key binary, a {kind}, b {kind}, start bigint"))
+        # Not written on its own, so that texts are shuffled once for pieces and windows.
+        windows = cut.where("hot").drop("hot").mapInArrow(_window_batches, f"window bigint, key binary, a {kind}, b {kind}, start bigint")
         # Rows that repeat give the same place again, which doesn't make it two.
         place = F.xxhash64("key", "start")
         one = windows.groupBy("window").agg(F.min("a").alias("one"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("window", "one")
