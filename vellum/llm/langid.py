@@ -44,7 +44,7 @@ TRAIN_DOCS, TRAIN_CHARS = 120, 48_000
 SEED = 11
 LANES = 2048
 #: Bytes of a piece of a long text, and how far it goes on into the next one.
-PIECE, OVERLAP = 4096, 256
+PIECE, OVERLAP = 2048, 128
 #: Bytes of text worked on at once.
 SLICE = 4 << 20
 
@@ -155,36 +155,39 @@ class Parser:
             counts.append(count)
         return state, count, np.array(states[-OVERLAP:]), np.array(counts[-OVERLAP:])
 
-    def _long(self, symbols: np.ndarray, begin: int, end: int) -> np.ndarray:
-        """Phrases of one long text, in pieces that are parsed at once."""
-        n, some = (end - begin) // PIECE, LANES // 4
-        total = np.zeros(len(self.roots), dtype=np.int64)
+    def _long(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Phrases of some long texts, whose pieces are all parsed at once."""
+        pieces, some = (end - begin) // PIECE, LANES // 4
+        row = np.repeat(np.arange(len(begin)), pieces)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, last = begin[row] + nth * PIECE, nth == pieces[row] - 1
+        stop = np.where(last, end[row], start + PIECE + OVERLAP)
+        total = np.zeros((len(begin), len(self.roots)), dtype=np.int64)
         # Phrase ends that a piece counted before it was in step, or the state in
         # which the piece before it ended without getting in step.
         skip, apart = [0] * len(self.roots), [-1] * len(self.roots)
-        for g in range(0, n, some):
+        for g in range(0, len(row), some):
             # The last piece may be there only for its beginning.
-            piece = np.arange(g, min(g + some + 1, n))
-            start = begin + piece * PIECE
-            stop = np.where(piece == n - 1, end, start + PIECE + OVERLAP)
-            order = np.argsort(start - stop, kind="stable")
-            state, count, heads, head_counts, tails, tail_counts = self._walk(symbols, start[order], (stop - start)[order], OVERLAP)
+            mine = np.arange(g, min(g + some + 1, len(row)))
+            order = np.argsort(start[mine] - stop[mine], kind="stable")
+            state, count, heads, head_counts, tails, tail_counts = self._walk(symbols, start[mine][order], (stop - start)[mine][order], OVERLAP)
             at = np.argsort(order)
-            for i in range(min(some, n - g)):
+            for i, p in enumerate(mine[:some].tolist()):
                 for k, root in enumerate(self.roots):
                     if apart[k] < 0:
                         ended, ends, states, counts = state[at[i], k], count[at[i], k] - skip[k], tails[:, at[i], k], tail_counts[:, at[i], k] - skip[k]
                     else:
-                        ended, ends, states, counts = self._slowly(symbols[start[i] + OVERLAP : stop[i]], apart[k])
-                    if g + i == n - 1:
-                        total[k] += ends + (ended != root)
+                        ended, ends, states, counts = self._slowly(symbols[start[p] + OVERLAP : stop[p]], apart[k])
+                    if last[p]:
+                        total[row[p], k] += ends + (ended != root)
+                        skip[k], apart[k] = 0, -1
                         continue
                     same = np.flatnonzero(states == heads[:, at[i + 1], k])
                     if len(same):
-                        total[k] += counts[same[0]]
+                        total[row[p], k] += counts[same[0]]
                         skip[k], apart[k] = int(head_counts[same[0], at[i + 1], k]), -1
                     else:
-                        total[k] += ends
+                        total[row[p], k] += ends
                         apart[k] = int(ended)
         return total
 
@@ -194,8 +197,9 @@ class Parser:
         symbols = self.symbol[normal(raw)]
         size = np.diff(offsets)
         out = np.zeros((n, len(roots)), dtype=np.int64)
-        for r in np.flatnonzero(size >= 2 * PIECE):
-            out[r] = self._long(symbols, int(offsets[r]), int(offsets[r + 1]))
+        long = np.flatnonzero(size >= 2 * PIECE)
+        if len(long):
+            out[long] = self._long(symbols, offsets[long], offsets[long + 1])
         short = np.flatnonzero(size < 2 * PIECE)
         longest = short[np.argsort(-size[short], kind="stable")]
         for g in range(0, len(longest), LANES):
