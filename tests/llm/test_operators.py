@@ -294,7 +294,7 @@ def test_training_takes_whole_texts(spark):
     assert alone == " " + "over and over again " * 5000
 
 
-def test_long_text_is_parsed_in_pieces():
+def test_long_text_is_parsed_in_pieces(monkeypatch):
     rng = random.Random(17)
     known = {k: bytes(rng.choice(b"abcd ") for _ in range(400)) for k in ("x", "y")}
     parser = langid.Parser(known)
@@ -303,6 +303,11 @@ def test_long_text_is_parsed_in_pieces():
         raw = np.frombuffer(text, np.uint8)
         want = [brute_phrases(text, known[k]) for k in ("x", "y")]
         assert parser.phrases(raw, np.array([0, len(raw)])).tolist() == [want]
+    texts = [loose, b"ab" * 9000, b"short", loose[5:], b"", known["x"] * 60, loose * 2]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    monkeypatch.setattr(langid, "LANES", 12)
+    want = [[brute_phrases(t, known[k]) for k in ("x", "y")] for t in texts]
+    assert parser.phrases(raw, offsets).tolist() == want
 
 
 def test_ten_million_bytes_take_seconds():
