@@ -1,5 +1,9 @@
+import hashlib
 import json
+import math
+import re
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -517,3 +521,26 @@ def test_tables_may_live_elsewhere(spark, tmp_path):
     assert e.search("rivers sea")[0]["title"] == "r.txt" and not (tmp_path / "none").exists()
     assert {"documents", "versions", "chunks", "records", "rollups"} <= set(home.tables)
     assert "rivers" in e.records.all_records().where("doc_type = 'file_summary'").first()["terms"]
+
+
+def test_summary_and_keywords_share_a_worker(spark):
+    """Functions of one kind on one row run in one Python worker, and so take its memory once."""
+    from vellum.functions import text as T
+
+    rows = spark.createDataFrame([("one. two two. three",), (None,), ("  spaced  ",)], "text string")
+    made = rows.select(T.summary_record(F.lit("t"), F.lit("f"), F.lit(""), content.summary("text"), content.keywords("text")).alias("record"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+    assert [r["record"] for r in made.collect()] == ["Title: t\nLocation: f\none. two two. three\nKeywords: two, one, three", "Title: t\nLocation: f", "Title: t\nLocation: f\nspaced\nKeywords: spaced"]
+
+
+def test_slices_are_small():
+    """Temporaries of a slice are many times its text, so a batch is cut at about a megabyte."""
+    import pyarrow as pa
+
+    from vellum.functions import tokens as K
+
+    texts = pa.array(["x" * 100_000] * 40 + [None])
+    parts = K.slices(texts)
+    assert sum(len(p) for p in parts) == 41 and max(p.nbytes for p in parts) < 2 << 20
+    assert pa.concat_arrays(parts).equals(texts)
