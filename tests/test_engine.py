@@ -544,3 +544,33 @@ def test_slices_are_small():
     parts = K.slices(texts)
     assert sum(len(p) for p in parts) == 41 and max(p.nbytes for p in parts) < 2 << 20
     assert pa.concat_arrays(parts).equals(texts)
+
+
+def test_postings_shuffle_no_features(spark):
+    """A row has all its features; only rows that share an id are counted together."""
+    from vellum.operators import vectors
+
+    texts = [(1, "one two two"), (2, "alpha"), (3, None), (4, "--- é"), (None, "lone")]
+    plan = vectors.postings(spark.createDataFrame(texts, "id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+    def weights(rows):
+        found = vectors.postings(spark.createDataFrame(rows, "id bigint, text string")).collect()
+        return sorted((str(r["id"]), r["bucket"], round(r["weight"], 9)) for r in found)
+
+    def plain(rows):
+        out = {}
+        for i in {i for i, _ in rows}:
+            seen = Counter()
+            for j, t in rows:
+                tokens = re.findall(r"\b[a-zA-Z0-9][a-zA-Z0-9_\-]*\b", (t or "").lower()) if i == j else []
+                seen.update(tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])])
+            for token, n in seen.items():
+                h = hashlib.md5(token.encode()).digest()
+                at = (str(i), int.from_bytes(h[:4], "little") % 512)
+                out[at] = out.get(at, 0.0) + (1 - 2 * (h[4] & 1)) * (1 + math.log(n))
+        return sorted((*k, round(v, 9)) for k, v in out.items())
+
+    assert weights(texts) == plain(texts)
+    again = texts + [(1, "two three"), (None, "lone wolf"), (5, "two two")]
+    assert weights(again) == plain(again)
