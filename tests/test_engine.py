@@ -574,3 +574,39 @@ def test_postings_shuffle_no_features(spark):
     assert weights(texts) == plain(texts)
     again = texts + [(1, "two three"), (None, "lone wolf"), (5, "two two")]
     assert weights(again) == plain(again)
+
+
+def test_hybrid_embeds_as_it_reads(spark):
+    """Records need hold no vectors or terms; neither side shuffles postings, or gives more than a task's best."""
+    from vellum.operators import search, vectors
+    from vellum.plans import catalogue
+
+    bare = catalogue.records(spark, "/root/testdata/sf0.001")
+    asked = catalogue.asked(spark, "/root/testdata/sf0.001")
+    assert "vector" not in bare.columns
+    full = bare.withColumn("vector", vectors.embedding("text")).withColumn("terms", vectors.distinct_tokens(search.haystack()))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(search.hybrid(bare, asked, 8)) == rows(search.hybrid(full, asked, 8))
+    plan = search.lexical(bare, asked, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_lexical_ranking_by_brute_force(spark):
+    """Bonus, ties by id, odd queries and passes."""
+    from vellum.operators import search
+
+    texts = [None if i % 17 == 0 else " ".join(f"w{i * j % 13}" for j in range(i % 7)) + (" the exact phrase" if i % 11 == 0 else "") for i in range(120)]
+    records = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string").select("id", F.lit("").alias("title"), F.lit("").alias("uri"), "text", F.array().cast("array<string>").alias("tags"))
+    asked = ["w1 w2 w3", "The exact Phrase", "w5 nothing", "", "--", "w1 w1 w12 w4"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    expected = []
+    for q, text in enumerate(asked):
+        terms = set(re.findall(r"\b[a-z0-9][a-z0-9_\-]*\b", text.lower()))
+        score = {i: min(1.0, len(terms & set(t.split())) / len(terms) + 0.25 * (text.lower() in t)) for i, t in enumerate(texts) if t and terms & set(t.split())}
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:5]
+        expected += [(q, i, n + 1, round(score[i], 9)) for n, i in enumerate(best)]
+    for batch in (search.BATCH, 2):
+        search.BATCH = batch
+        found = search.lexical(records, queries, 5).collect()
+        assert sorted((r["query_id"], r["id"], r["rank"], r["score"]) for r in found) == sorted(expected)
+    search.BATCH = 4096

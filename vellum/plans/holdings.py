@@ -13,7 +13,7 @@ from vellum.functions import text as T
 from vellum.operators import content, search, vectors
 from vellum.plans.catalogue import _PROFILED, _TEXT, _sampled, asked, assets, documents, query, records, table
 from vellum.plans.sql import KEYWORDS, hybrid_sql
-from vellum.session import shared_folder
+from vellum.session import saved, shared_folder
 from vellum.sources import connectors, readers
 from vellum.sources import store as stores
 
@@ -100,7 +100,7 @@ def hybrid_context(spark, sf_dir):
     """Numbered citations and excerpts of each query's best documents."""
     pool = records(spark, sf_dir)
     found = search.hybrid(pool, asked(spark, sf_dir), 8).select("query_id", "id", "score", F.col("rank").alias("position"))
-    return search.context_blocks(search.evidence(found.join(pool, "id")))
+    return search.context_blocks(search.evidence(search.sent(saved(found)).join(pool, "id")))
 
 
 # Documents and editions
@@ -151,7 +151,7 @@ def version_flags(spark, sf_dir):
 
 def _editions(spark, sf_dir):
     """Records of a first build, and of a second one in which every third document is new."""
-    rows = records(spark, sf_dir, embed=False).withColumn("vector", F.array().cast("array<float>"))
+    rows = records(spark, sf_dir).withColumn("vector", F.array().cast("array<float>"))
     number = F.col("id") % 3 == 0
     old = rows.withColumn("version_id", F.lit("first"))
     new = rows.where(number).withColumn("version_id", F.lit("second"))
