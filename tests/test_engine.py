@@ -610,3 +610,20 @@ def test_lexical_ranking_by_brute_force(spark):
         found = search.lexical(records, queries, 5).collect()
         assert sorted((r["query_id"], r["id"], r["rank"], r["score"]) for r in found) == sorted(expected)
     search.BATCH = 4096
+
+
+def test_search_stores_no_vectors(spark):
+    """Evidence from records that hold no vectors or terms is the same."""
+    from vellum.operators import indexing, search
+    from vellum.plans import catalogue
+    from vellum.sources import store as stores
+
+    sf = "/root/testdata/sf0.001"
+    held = catalogue._indexed(spark, sf)
+    assert not {"vector", "terms"} & set(held.columns)
+    docs = indexing.analysed(indexing.identified(catalogue.assets(spark, sf))).withColumn("is_current", F.lit(True))
+    full = indexing.records_of(docs, spark.createDataFrame([], stores.SCHEMAS["membership"]))
+    asked = catalogue.asked(spark, sf).limit(6)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for chunks in (None, True):
+        assert rows(search.search(held, asked, include_chunks=chunks)) == rows(search.search(full, asked, include_chunks=chunks))
