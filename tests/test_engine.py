@@ -627,3 +627,22 @@ def test_search_stores_no_vectors(spark):
     rows = lambda df: sorted(map(repr, df.collect()))
     for chunks in (None, True):
         assert rows(search.search(held, asked, include_chunks=chunks)) == rows(search.search(full, asked, include_chunks=chunks))
+
+
+def test_types_of_odd_values(spark, tmp_path):
+    """Large doubles are numbers, as in SQL; odd white space around strings goes."""
+    from vellum.plans import catalogue
+
+    rows = [(i, f" {i},000.5%　" if i % 2 else f" -${i} ", [0, 1, None][i % 3], 12345678.5 * (i + 1), "\tYes " if i % 2 else "n") for i in range(20)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    found = {r["column"]: (r["inferred_type"], r["n_values"]) for r in catalogue._types(spark, str(tmp_path), "customer").collect()}
+    assert found == {"c_custkey": ("number", 20), "c_name": ("number", 20), "c_nationkey": ("number", 14), "c_acctbal": ("number", 20), "c_mktsegment": ("boolean", 20)}
+
+
+def test_string_tests_equal_plain_expressions(spark):
+    """Looking for what an expression needs first changes no vote."""
+    values = ["", " ", "a@b.co", " a@b.co\n", "x a@b.c", "http://x", "HTTPS://x", "https:/x", "2024-1-2 x", "1/2/34", "1/2/345", "-$1,000.5%", "$5", "5%", "-", "1.", "TRUE", "n", "falsey", "0", "été", " 0 ", None, "x" * 50]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(content.stripped("v").alias("v"))
+    got = rows.agg(*content.type_votes("v")).first().asDict()
+    kept = [v.strip() for v in values if v and v.strip()]
+    assert got == {"n_values": len(kept), "value_chars": sum(map(len, kept))} | {f"is_{n}": sum(bool(re.match(p, v)) for v in kept) for n, p in content.TYPE_TESTS.items()}
