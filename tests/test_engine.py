@@ -646,3 +646,11 @@ def test_string_tests_equal_plain_expressions(spark):
     got = rows.agg(*content.type_votes("v")).first().asDict()
     kept = [v.strip() for v in values if v and v.strip()]
     assert got == {"n_values": len(kept), "value_chars": sum(map(len, kept))} | {f"is_{n}": sum(bool(re.match(p, v)) for v in kept) for n, p in content.TYPE_TESTS.items()}
+
+
+def test_vector_search_asks_every_twentieth(spark):
+    from vellum.plans import catalogue
+
+    found = catalogue.semantic_topk_batch(spark, "/root/testdata/sf0.001").collect()
+    ids = [r["vec_id"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r["query_id"] for r in found) == sorted(i for i in ids if i % 20 == 0 for _ in range(10))
